@@ -16,10 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, byte_texts, materialize, sliced
+from .common import STEP_BYTES, byte_texts, sliced
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast table; more items go to further tables, which a worker loads one at a time.
@@ -170,7 +169,20 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` without contaminated documents, all columns as they were; a doc_id goes if any of its rows is hit."""
-    bad = materialize(scan_documents(docs, benchmark, window).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("__bad")), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` without its contaminated rows, all columns as they were, in one pass and without a shuffle."""
+    tables = [docs.sparkSession.sparkContext.broadcast(pickle.dumps(WindowTable(b, window), protocol=5)) for b in _blocks(benchmark, block_bytes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = pickle.loads(tables[0].value) if len(tables) == 1 else None
+        for batch in batches:
+            for part in sliced(batch, STEP_BYTES):
+                split = [words(t) for t in byte_texts(part, "text")]
+                hits = [np.zeros(len(w), dtype=bool) for w in split]
+                for t in tables:
+                    table = one or pickle.loads(t.value)
+                    for w, h in zip(split, hits):
+                        table.scan(w, h, set())
+                yield part.filter(pa.array([not h.any() for h in hits], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, packing, simhash
+from . import decontam, exact, packing, repair, simhash, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -37,5 +45,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
