@@ -2,10 +2,12 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all thresholds,
 theta_0 < theta_1 < ... . Grades come from the label table: 0 not toxic, 1
-toxic, 2 toxic and of low quality. x holds log(1 + count) of vocabulary words.
-The vocabulary is chosen by a two-proportion test over the labelled sample, in
-which near copies of a text count once; fitting is full-batch proximal gradient
-with an L1 term, so words that explain nothing get no weight.
+toxic, 2 toxic and of low quality. A feature is a word or a word's beginning
+(4 to 8 characters, so that inflected forms share one), with two values: log(1 +
+count) and the share of the document's words. The vocabulary is chosen by a
+two-proportion test over the labelled sample, in which near copies of a text
+count once. Weights are not negative (evidence only adds up, nothing excuses
+it) and fitting is accelerated proximal gradient with an L1 term.
 """
 
 from __future__ import annotations
@@ -25,30 +27,66 @@ from .common import STEP_BYTES, arrow_map, byte_texts, materialize, sliced
 from .decontam import words
 
 #: Labelled rows used for fitting at most (a hash of doc_id decides which), words kept, and documents a word needs.
-MAX_LABELLED, MAX_WORDS, MIN_DOCS = 20_000, 2_000, 8
+MAX_LABELLED, MAX_WORDS, MIN_DOCS = 12_000, 2_000, 5
 #: z of the two-proportion test that a word must reach.
-MIN_Z = 4.0
-L1, STEPS = 2e-3, 400
+MIN_Z = 5.0
+L1, STEPS = 1e-4, 1500
 #: A document is rejected when P(grade >= 1) reaches this.
-REJECT = 0.5
+REJECT = 0.3
 GRADES = 3
+#: Characters of the beginnings, and the cap of the share, in percent of the words.
+STEM, MAX_SHARE = (4, 8), 3.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def features(text: bytes) -> tuple[Counter, int]:
+    """Counts of words and of words' beginnings (marked with *), and the number of words."""
+    ws = words(text)
+    out: Counter = Counter()
+    for w, n in Counter(ws).items():
+        out[w] += n
+        if len(w) > STEM[0]:
+            chars = w.decode("utf-8", "replace")
+            for k in range(STEM[0], min(STEM[1], len(chars) - 1) + 1):
+                out[chars[:k].encode() + b"*"] += n
+    return out, len(ws)
+
+
+def values(n: int, total: int) -> tuple[float, float]:
+    return float(np.log1p(n)), min(100.0 * n / total, MAX_SHARE)
+
+
 @dataclass
 class OrdinalModel:
-    """Weights by word and ordered thresholds."""
+    """Two weights by feature, for count and share, and ordered thresholds."""
 
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[bytes, tuple[float, float]] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [30.0, 31.0])
 
+    def __post_init__(self):
+        self._stems: dict[bytes, list[bytes]] = {}
+
     def score(self, text: bytes) -> float:
-        get = self.weights.get
-        counts = Counter(w for w in words(text) if w in self.weights) if self.weights else {}
-        return float(sum(get(w) * np.log1p(n) for w, n in sorted(counts.items())))
+        """w.x; which features a word has is remembered, so a text costs a lookup per distinct word."""
+        counts = Counter(ws := words(text))
+        found: Counter = Counter()
+        known = self._stems
+        for w, n in counts.items():
+            hit = known.get(w)
+            if hit is None:
+                if len(known) > 1 << 18:
+                    known.clear()
+                hit = known[w] = [f for f in features(w)[0] if f in self.weights]
+            for f in hit:
+                found[f] += n
+        total = 0.0
+        for f, n in sorted(found.items()):
+            (a, b), (x, y) = self.weights[f], values(n, len(ws))
+            total += a * x + b * y
+        return total
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """P(grade = k), one column per grade."""
@@ -58,7 +96,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(docs: list[list[tuple[int, float]]], grades: np.ndarray, n_words: int, n_grades: int = GRADES, l1: float = L1, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that minimise mean negative log-likelihood + l1 * |w|, by accelerated proximal gradient.
+    """Weights >= 0 and thresholds that minimise mean negative log-likelihood + l1 * w, by accelerated proximal gradient.
 
     Thresholds are theta_0 plus positive gaps (softplus), so they stay ordered.
     """
@@ -93,7 +131,7 @@ def fit_ordinal(docs: list[list[tuple[int, float]]], grades: np.ndarray, n_words
         gt = np.array([np.sum(d_lo[grades == k + 1]) - np.sum(d_hi[grades == k]) for k in range(n_grades - 1)]) / n
         gr = np.concatenate([[gt.sum()], [gt[k + 1 :].sum() * _sigmoid(yr[k + 1 : k + 2])[0] for k in range(n_grades - 2)]])
         nw = yw - rate * gw
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * l1, 0)
+        nw = np.maximum(nw - rate * l1, 0)
         nr = yr - rate * gr
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         yw, yr = nw + (t - 1) / nt * (nw - w), nr + (t - 1) / nt * (nr - raw)
@@ -103,23 +141,23 @@ def fit_ordinal(docs: list[list[tuple[int, float]]], grades: np.ndarray, n_words
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """Labelled texts: (doc_id, grade, sketch, words, counts), about `limit` at most by a hash of doc_id; near copies once."""
+    """Labelled texts: (doc_id, grade, n_words, words, counts), about `limit` at most by a hash of doc_id; near copies once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") <= 0, 0).when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
     n = known.count()
     if n > limit:
         known = known.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * limit / n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "grade")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grade", T.IntegerType()), T.StructField("sketch", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grade", T.IntegerType()), T.StructField("sketch", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     def step(batch: pa.RecordBatch) -> dict:
         split = [words(t) for t in byte_texts(batch, "text")]
-        bags = [Counter(ws) for ws in split]
+        bags = [features(t)[0] for t in byte_texts(batch, "text")]
         sketch = [min((xxhash.xxh64_intdigest(b" ".join(ws[k : k + 5])) for k in range(max(1, len(ws) - 4))), default=0) - (1 << 63) for ws in split]
-        return {"doc_id": batch.column(0).to_pylist(), "grade": batch.column(2).to_pylist(), "sketch": sketch, "words": [list(b) for b in bags], "counts": [list(b.values()) for b in bags]}
+        return {"doc_id": batch.column(0).to_pylist(), "grade": batch.column(2).to_pylist(), "sketch": sketch, "n_words": [len(ws) for ws in split], "words": [list(b) for b in bags], "counts": [list(b.values()) for b in bags]}
 
     bags = materialize(arrow_map(rows, step, schema), "labelled")
     first = bags.groupBy("sketch").agg(F.min("doc_id").alias("__first"))
-    return bags.join(first.withColumnRenamed("sketch", "__s"), (F.col("sketch") == F.col("__s")) & (F.col("doc_id") == F.col("__first"))).select("doc_id", "grade", "words", "counts")
+    return bags.join(first.withColumnRenamed("sketch", "__s"), (F.col("sketch") == F.col("__s")) & (F.col("doc_id") == F.col("__first"))).select("doc_id", "grade", "n_words", "words", "counts")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
@@ -134,16 +172,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     by_word = sample.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("k")).where(F.col("n") >= MIN_DOCS)
     p = F.col("n") / F.lit(n)
     z = (F.col("k") / F.lit(pos) - (F.col("n") - F.col("k")) / F.lit(n - pos)) / F.sqrt(p * (1 - p) * F.lit(1 / pos + 1 / (n - pos)) + F.lit(1e-12))
-    chosen = [bytes(r.word) for r in by_word.withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()]
+    chosen = [bytes(r.word) for r in by_word.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "word").limit(MAX_WORDS).collect()]
     if not chosen:
         return OrdinalModel()
     at = {w: k for k, w in enumerate(chosen)}
     table = F.broadcast(sample.sparkSession.createDataFrame([(bytearray(w), k) for w, k in at.items()], "word binary, col int"))
     pairs = sample.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", F.col("x.words").alias("word"), F.col("x.counts").alias("count")).join(table, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("col", "count"))).alias("xs"))
-    rows = sample.select("doc_id", "grade").join(pairs, "doc_id", "left").orderBy("doc_id").collect()
-    feats = [[(x["col"], float(np.log1p(x["count"]))) for x in r.xs or []] for r in rows]
-    w, theta = fit_ordinal(feats, np.array([r.grade for r in rows]), len(chosen))
-    return OrdinalModel({word: float(w[k]) for word, k in at.items() if w[k]}, [float(x) for x in theta])
+    rows = sorted(sample.select("doc_id", "grade", "n_words").join(pairs, "doc_id", "left").collect(), key=lambda r: (r.doc_id, r.grade))
+    feats = [[(2 * x["col"] + part, v) for x in r.xs or [] for part, v in enumerate(values(x["count"], r.n_words))] for r in rows]
+    w, theta = fit_ordinal(feats, np.array([r.grade for r in rows]), 2 * len(chosen))
+    return OrdinalModel({word: (float(w[2 * k]), float(w[2 * k + 1])) for word, k in at.items() if w[2 * k] or w[2 * k + 1]}, [float(x) for x in theta])
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
