@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, packing, repair, simhash, toxicity, warc
+from . import decontam, exact, html_crf, packing, paragraphs, repair, simhash, toxicity, urlrules, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,11 +32,23 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_read(spark, sf_dir, "pages"))
+
+
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(_read(spark, sf_dir, "pages")).drop("n_blocks")
+
+
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_read(spark, sf_dir, "documents"))
 
