@@ -30,6 +30,8 @@ from .graph import components
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Shingle hashes whose bits are counted at once.
 STEP = 1 << 16
+#: Distinct fingerprints that one task expands into variants.
+NODES_PER_TASK = 10_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -85,15 +87,26 @@ def _near(a: str, b: str, bits: int):
     return F.expr(f"bit_count({a} ^ {b}) <= {bits}")
 
 
+def _spread() -> list:
+    """Of a bucket: its size and the bits in which any two members differ."""
+    return [F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differ")]
+
+
+def _hopeful(bits: int):
+    """Whether a bucket may hold a link. The two members of a chance collision differ in `differ` itself, which settles them here."""
+    return F.expr(f"n > 2 or bit_count(differ) <= {bits}")
+
+
 def link_components(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, component), the smallest fingerprint reachable, itself included."""
-    index = variants(nodes.select("fp"), bits)
-    leaders = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() // NODES_PER_TASK + 1)
+    index = variants(nodes.select("fp").repartition(parts, "fp"), bits)
+    leaders = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp")).alias("lead"), *_spread()).where("n > 1").where(_hopeful(bits))
     star = rejoin(index, leaders, ["key"], "inner").where(F.expr("fp != lead.fp")).where(_near("fp", "lead.fp", bits))
     first = components(star.select(F.col("fp").alias("a"), F.col("lead.fp").alias("b")))
     placed = nodes.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
-    rows = materialize(variants(materialize(placed, "placed"), bits), "variants")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    rows = materialize(variants(placed.repartition(parts, "fp"), bits), "variants")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_spread()).where("lo != hi").where(_hopeful(bits)).select("key")
     rest = materialize(rejoin(rows, mixed, ["key"], "inner"), "mixed")
     x = rest.select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("a"))
     y = rest.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("comp").alias("b"))
