@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import relational, text_plans, totals  # noqa: F401  they register on import
+from .plans.registry import PLANS, Plan
 
-def queries():
-    return {}
+
+def queries() -> dict[str, Plan]:
+    return {name: fn for name, (fn, _) in PLANS.items()}
