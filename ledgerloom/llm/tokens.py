@@ -1,8 +1,10 @@
 """Tokenising whole texts with the public tokenizers, one bounded cache per worker.
 
 Texts repeat words, and both tokenizers here never merge over a single space
-between two non-space characters. So a text is cut at those spaces, unseen
-pieces go to the tokenizers library together, and ids come back as bytes.
+between two non-space characters. So a text is cut at those spaces. A piece not
+seen before is cut further where neither tokenizer ever merges (at a single line
+end, and between letters and a closing point or comma), and what is still
+unknown goes to the tokenizers library together. Ids come back as bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces kept per worker; the cache starts anew beyond it.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
 
@@ -41,18 +43,33 @@ class Encoder:
         out[1:] = [" " + x for x in out[1:]]
         return out
 
+    def parts(self, piece: str) -> list[str]:
+        """A piece as parts that encode by themselves; itself if it has none."""
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
+                out = self.parts(lines[0])
+                for x in lines[1:]:
+                    out = [*out, "\n", *self.parts(x)]
+                return out
+        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].lstrip(" ").isalpha():
+            return [piece[:-1], piece[-1]]
+        return [piece]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         known = self.cache
-        new = list(set().union(*cut).difference(known)) if cut else []
-        fresh = self._fresh(new)
-        once = {k: v for k, v in fresh.items() if len(k) > CACHE_CHARS}
-        known.update(fresh)
+        made = {p: self.parts(p) for p in set().union(*cut).difference(known)} if cut else {}
+        known.update(self._fresh(list(set().union(*made.values()).difference(known)) if made else []))
+        for p, parts in made.items():
+            if len(parts) > 1:
+                known[p] = b"".join([known[x] for x in parts])
         out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for k in once:
-            del known[k]
+        for p in made:
+            if len(p) > CACHE_CHARS:
+                del known[p]
         return out
 
     def _fresh(self, new: list[str]) -> dict[str, bytes]:
