@@ -52,7 +52,7 @@ class Encoder:
                 for x in lines[1:]:
                     out = [*out, "\n", *self.parts(x)]
                 return out
-        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].lstrip(" ").isalpha():
+        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].lstrip(" ").lower().isalpha():
             return [piece[:-1], piece[-1]]
         return [piece]
 
