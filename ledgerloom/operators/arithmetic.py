@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..schema import AMOUNTS
 
 DEC = "decimal(20,8)"
-ZERO = F.lit(0).cast(DEC)
 
 
 def _d(c: Column) -> Column:
@@ -31,7 +30,7 @@ def typed(df: DataFrame) -> DataFrame:
     """Amount columns as decimals; null and unparseable values are zero."""
     from ..functions.numeric import to_decimal
 
-    return df.withColumns({c: _d(F.coalesce(F.col(c), ZERO)) if dict(df.dtypes)[c].startswith("decimal") else _d(to_decimal(F.col(c))) for c in AMOUNTS if c in df.columns})
+    return df.withColumns({c: _d(F.coalesce(F.col(c), F.lit(0))) if dict(df.dtypes)[c].startswith("decimal") else _d(to_decimal(F.col(c))) for c in AMOUNTS if c in df.columns})
 
 
 def fill_line(df: DataFrame) -> DataFrame:

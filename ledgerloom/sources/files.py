@@ -128,7 +128,7 @@ def first_extraction(rows: DataFrame, columns: list[str]) -> DataFrame:
 def split_text(texts: DataFrame) -> DataFrame:
     """Texts (doc, text) cut at `invoice_<n>` markers: (doc, part, number, body); of one number in a document the first part stays."""
     parts = texts.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(invoice_\d+.*?)(?=invoice_\d+|$)"), 1)).alias("part", "s"))
-    out = parts.select("doc", "part", F.regexp_extract("s", r"^invoice_(\d+)", 1).alias("number"), F.trim(F.regexp_replace("s", r"^invoice_\d+[:\s]*", "")).alias("body"))
+    out = parts.select("doc", "part", F.regexp_extract("s", r"^invoice_(\d+)", 1).alias("number"), F.regexp_replace("s", r"^invoice_\d+[:\s]*|\s+$", "").alias("body"))
     return out.groupBy("doc", "number").agg(F.min("part").alias("part"), F.min_by("body", "part").alias("body"))
 
 
