@@ -34,6 +34,8 @@ MAGIC = b"LLRPAIR1"
 BASE, END_ID = 50_257, 0
 #: Tokens of a shard at about (a longer document is a shard of its own), rounds, and occurrences a pair needs.
 SHARD_TOKENS, ROUNDS, MIN_COUNT = 1 << 20, 5, 12
+#: Bits of a round's pair table.
+SLOT_BITS = 18
 #: Symbols stay within 16 bits.
 MAX_RULES = (1 << 16) - BASE
 #: Bytes of text that a range partition gets at about.
@@ -44,39 +46,43 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int = BASE, rounds: int =
     """ids and whether each ends its document -> (symbols, rules as (n, 2), whether each symbol ends its document)."""
     s, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    made = 0
+    made, none = 0, np.int32(1 << 30)
     for k in range(rounds):
         room = -(-(max_rules - made) // (rounds - k))
         if len(s) < 2 or room <= 0:
             break
+        # A slot of the hash table stands for one pair, the last that fell into it; others that share it wait for a later round.
         pair = (s[:-1] << np.uint32(16)) | s[1:]
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
+        slot = (pair * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
         inside = ~last[:-1]
-        counts = np.bincount(slot[inside], minlength=1 << 20)
-        at = np.flatnonzero(inside & (counts[slot] >= min_count))
-        codes, n = np.unique(pair[at], return_counts=True)
-        top = np.flatnonzero(n >= min_count)
-        top = top[np.lexsort((codes[top], -n[top]))][:room]
+        owner = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+        owner[slot] = pair
+        mine = inside & (owner[slot] == pair)
+        counts = np.bincount(slot[mine], minlength=1 << SLOT_BITS)
+        top = np.flatnonzero(counts >= min_count)
+        top = top[np.lexsort((owner[top], -counts[top]))][:room]
         if not len(top):
             break
-        rank_of = np.full(len(codes), 1 << 30, dtype=np.int64)
-        rank_of[top] = np.arange(len(top))
-        rank = np.full(len(s) + 1, 1 << 30, dtype=np.int64)
-        rank[at + 1] = rank_of[np.searchsorted(codes, pair[at])]
+        rank_of = np.full(1 << SLOT_BITS, none, dtype=np.int32)
+        rank_of[top] = np.arange(len(top), dtype=np.int32)
+        rank = np.full(len(s) + 1, none, dtype=np.int32)
+        rank[1:-1] = np.where(mine, rank_of[slot], none)
         mid = rank[1:-1]
-        win = np.flatnonzero((mid < 1 << 30) & (mid < rank[:-2]) & (mid <= rank[2:]))
-        # Two neighbouring places never both win: the right one needs a strictly smaller rank than the left.
-        used, symbol = np.unique(rank[win + 1], return_inverse=True)
-        if not len(used):
+        # Of two neighbouring places at most one wins: the more frequent pair, on ties the left.
+        win = np.flatnonzero((mid < none) & (mid < rank[:-2]) & (mid <= rank[2:]))
+        used = np.zeros(len(top), dtype=bool)
+        used[mid[win]] = True
+        if not len(win):
             break
-        chosen = codes[top[used]]
+        number = np.cumsum(used) - 1
+        chosen = owner[top[used]]
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
-        s[win] = (base + made + symbol).astype(np.uint32)
+        s[win] = (base + made + number[mid[win]]).astype(np.uint32)
         last[win] = last[win + 1]
         keep = np.ones(len(s), dtype=bool)
         keep[win + 1] = False
         s, last = s[keep], last[keep]
-        made += len(used)
+        made += int(used.sum())
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
     return s, table.astype(np.uint32), last
 

@@ -19,7 +19,7 @@ CACHE_PIECES = 500_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
 
-_SPACES = re.compile(r"\s | \s|^ | $")
+_RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -39,7 +39,8 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        out = _CUT.split(text) if _SPACES.search(text) else text.split(" ")
+        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text)
+        out = _CUT.split(text) if odd else text.split(" ")
         out[1:] = [" " + x for x in out[1:]]
         return out
 
@@ -73,13 +74,25 @@ class Encoder:
         return out
 
     def _fresh(self, new: list[str]) -> dict[str, bytes]:
-        if not new:
-            return {}
-        enc = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(enc.ids, dtype="<u4").tobytes()
-        word = np.array(enc.word_ids, dtype=np.int64)
-        ends = 4 * np.cumsum(np.bincount(word, minlength=len(new)))
-        return {k: ids[a:b] for k, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist())}
+        """Unknown parts encoded as one text, joined where no token reaches across, and cut apart by offsets.
+
+        Parts with white space inside or at their end go through one by one.
+        """
+        plain = [x for x in new if len(y := x.split()) == 1 and (y[0] == x or (self.spaced and x == " " + y[0]))]
+        done = set(plain)
+        out = {x: np.array(self.tok.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in new if x not in done}
+        for k in range(0, len(plain), 20_000):
+            some = plain[k : k + 20_000]
+            lead = ["" if x[0] == " " else "\n" if self.spaced else " " for x in some]
+            enc = self.tok.encode("".join([y for pair in zip(lead, some) for y in pair]), add_special_tokens=False)
+            ids = np.array(enc.ids, dtype="<u4")
+            begin = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids))
+            size = np.array([len(x) for x in some])
+            first = np.cumsum(size + [len(x) for x in lead]) - size
+            a, b = np.searchsorted(begin, first), np.searchsorted(begin, first + size)
+            data = ids.tobytes()
+            out.update({x: data[4 * i : 4 * j] for x, i, j in zip(some, a.tolist(), b.tolist())})
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
