@@ -222,3 +222,21 @@ def windowed(s, d):
     from ..streaming.ingest import windowed_counts
 
     return windowed_counts(table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("p16_catalog_rows", "select p_partkey, cast(10000 + p_partkey as varchar) || '-' || p_brand as code, case when regexp_matches(p_name, '^\\d*[A-Z]{1,4}\\s*(ml|gm|gms|g|l|each)\\b', 'i') then '' else p_name end as description from part where p_partkey % 2 = 0")
+def catalog_rows(s, d):
+    from ..operators import catalogs as C
+
+    p = table(s, d, "part")
+    code = F.when(F.col("p_partkey") % 2 == 0, F.concat((F.col("p_partkey") + 10000).cast("string"), F.lit("-"), F.col("p_brand"))).otherwise("none")
+    rows = p.select("p_partkey", F.create_map(F.lit("col_1"), code, F.lit("col_10"), F.lit("|"), F.lit("col_2"), F.col("p_name"), F.lit("col_3"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")).alias("record"))
+    hit = rows.where(C.is_item_row(F.col("record")))
+    return hit.select("p_partkey", C.item_code(F.col("record")).alias("code"), C.description(F.col("record")).alias("description"))
+
+
+@query("o11_page_count", with_views("select document_type, cast(ceil(count(*) / 10.0) as bigint) as pages from docs group by 1", "docs"))
+def page_counts(s, d):
+    from ..operators import catalogs as C
+
+    return V.documents(s, d).groupBy("document_type").agg(F.count("*").alias("n")).select("document_type", C.page_count(F.col("n"), 10).cast("long").alias("pages"))

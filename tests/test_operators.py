@@ -250,3 +250,26 @@ def test_streaming(spark, tmp_path):
 def test_search_prefixes():
     assert documents.split_prefix("vendor: acme") == ("vendor", "acme")
     assert documents.split_prefix("what: acme") == (None, "acme") and documents.split_prefix("acme") == (None, "acme")
+
+
+def test_catalog_rows(spark):
+    from ledgerloom.operators import catalogs
+
+    rows = spark.createDataFrame([(1, {"col_1": "00123-A5", "col_2": "|", "col_10": "Acid", "col_3": "Acetic", "col_4": "MERCK", "col_5": "BOOml", "col_6": "1,200.50"}), (2, {"col_1": "note", "x": "y"})], "k int, record map<string,string>")
+    got = {r.k: r for r in rows.select("k", catalogs.is_item_row(F.col("record")).alias("i"), catalogs.item_code(F.col("record")).alias("c"), catalogs.description(F.col("record")).alias("d")).collect()}
+    assert (got[1].i, got[1].c, got[1].d) == (True, "00123-A5", "Acetic Acid") and (got[2].i, got[2].c) == (False, "")
+    assert [r.k for r in catalogs.search_rows(rows, "acetic acid").collect()] == [1]
+    keyed = one(spark, catalogs.canonical_keys(F.create_map(F.lit("unit_price"), F.lit("5"), F.lit("other"), F.lit("z"))))
+    assert (keyed["Rate"], keyed["col_14"], keyed["other"], keyed["col_1"]) == ("5", "5", "z", None)
+
+
+def test_learned_catalog(spark):
+    from ledgerloom.operators import catalogs
+
+    texts = spark.createDataFrame([(1, "AIC Enterprises Pvt", "x\nHigh Lighter pens 7 Box\n"), (2, "zzz", "")], "doc int, vendor_name string, text string")
+    vendors = spark.createDataFrame([(0, "AIC ENTERPRISES"), (1, "AIC")], "ord int, vendor string")
+    found = catalogs.vendor_lookup(texts, vendors)
+    assert {r.doc: r.learned for r in found.collect()} == {1: "AIC ENTERPRISES", 2: None}
+    known = spark.createDataFrame([("AIC ENTERPRISES", "High Lighter", Dec("10.00")), ("AIC ENTERPRISES", "Slim Candle", Dec("1.00"))], "vendor string, description string, rate decimal(18,2)")
+    (r,) = catalogs.catalog_items(found.withColumnRenamed("learned", "vendor"), known).collect()
+    assert (r.description, r.qty, r.uom, r.final_value) == ("High Lighter", Dec("7.00"), "Box", Dec("82.60"))
