@@ -1,8 +1,37 @@
-"""DuckDB statements for the operators that SQL can express."""
+"""DuckDB statements for the operators that SQL can express, over whole tables and texts."""
 
 from __future__ import annotations
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NIBBLES = "".join(f"{k:04b}" for k in range(16))
+BASE32 = UPPER + "234567"
+
+
+def warc_sql(pages: str = "pages") -> str:
+    """Records by equal payloads; base32 of SHA-1 by way of its bits."""
+    five = " + ".join(f"{1 << (4 - k)} * cast(substr(bits, 5 * i + {k + 1}, 1) as integer)" for k in range(5))
+    return f"""
+with p as (select page_id, coalesce(html, '') as html from {pages}),
+h as (select page_id, html, list_aggregate(list_transform(string_split(sha1(html), ''), lambda c: substr('{NIBBLES}', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), 'string_agg', '') as bits from p),
+m as (select *, min(page_id) over (partition by html) as first from h)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('{BASE32}', 1 + {five}, 1)), 'string_agg', '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from m"""
+
+
+def decontam_sql(docs: str = "documents", window: int = 10) -> str:
+    ws = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with b as (select item_id, {ws('text')} as w from benchmark),
+bw as (select distinct item_id, n, list_slice(w, k, k + n - 1) as win from (select item_id, w, least({window}, len(w)) as n, unnest(range(1, len(w) - least({window}, len(w)) + 2)) as k from b where len(w) > 0)),
+d as (select doc_id, {ws('text')} as w from {docs}),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, k, list_slice(w, k, k + n - 1) as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+hits as (select dw.doc_id, dw.k, dw.n, bw.item_id from dw join bw on dw.win = bw.win and dw.n = bw.n),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as names from (select distinct doc_id, cast(item_id as varchar) as i from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places on places.doc_id = d.doc_id left join items on items.doc_id = d.doc_id"""
 
 
 def exact_sql(docs: str = "documents") -> str:
@@ -14,4 +43,4 @@ from n"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_duplicates": exact_sql()}
+    return {"op1_warc_round_trip": warc_sql(), "op5_decontamination": decontam_sql(), "op8_exact_duplicates": exact_sql()}
