@@ -139,11 +139,20 @@ def column_types(s, d):
 
 @query("s28_unroll", "with l as (select doc_id, string_split(text, chr(10)) as ls from documents where length(text) < 2000) select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as part, nullif(trim(unnest(ls)), '') as line from l")
 def unroll(s, d):
-    t = table(s, d, "documents").where(F.length("text") < 2000)
+    return _unrolled(table(s, d, "documents").where(F.length("text") < 2000))
+
+
+def _unrolled(t):
     grid = t.select(F.col("doc_id").cast("string").alias("doc"), F.lit("s").alias("sheet"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"), "doc_id")
     return G.unroll_cells(grid).select(F.col("doc").cast("long").alias("doc_id"), "part", F.col("cells")[0].alias("line"))
 
 
+@query("s28_unroll_whole", "with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as part, nullif(trim(unnest(ls)), '') as line from l")
+def unroll_whole(s, d):
+    """s28_unroll without its filter by length: every document, texts of any length."""
+    return _unrolled(table(s, d, "documents"))
+
+
 @query("s31_text_items", None)
 def text_items(s, d):
     items = V.items(s, d).where("document_id <= 2000")

@@ -1,0 +1,18 @@
+"""Queries over whole tables and whole texts; their rows are held against DuckDB in test_oracle."""
+
+import duckdb
+
+from ledgerloom.queries import queries
+
+
+def _duck(sf_dir, sql, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con.execute(sql).fetchall()
+
+
+def test_unroll_holds_long_texts(spark, sf_dir):
+    got = sorted((r.doc_id, r["count"]) for r in queries()["s28_unroll_whole"](spark, sf_dir).groupBy("doc_id").count().collect())
+    texts = _duck(sf_dir, "select doc_id, coalesce(text, '') from documents", "documents")
+    assert got == sorted((d, t.count("\n") + 1) for d, t in texts) and any(len(t) >= 2000 for _, t in texts)
