@@ -136,6 +136,12 @@ def in_document(s, d):
     return D.in_document(V.items(s, d).where("document_id <= 500"), "e a", ["description", "brand"]).select("document_id", "line_no", "item_code")
 
 
+@query("p14_in_document_whole", sql("select document_id, line_no, item_code from items where lower(description) like '%e%' and lower(description) like '%a%' or lower(brand) like '%e%' and lower(brand) like '%a%'", "items"))
+def in_document_whole(s, d):
+    """p14_in_document over the lines of all documents."""
+    return D.in_document(V.items(s, d), "e a", ["description", "brand"]).select("document_id", "line_no", "item_code")
+
+
 @query("p20_incomplete", sql("select id from docs where coalesce(grand_total_final, 0) = 0 or document_date is null or customer_id is null", "docs"))
 def incomplete(s, d):
     return A.incomplete(V.documents(s, d)).select("id")

@@ -146,22 +146,44 @@ def fill_totals(s, d):
 
 @query("a12e_verify", with_views("select d.document_no, coalesce(s.n_items = n.n + d.id % 2, false) as reconciled from docs d left join sums s on s.document_id = d.id left join (select document_id, count(*) as n from items group by 1) n on n.document_id = d.id where d.id % 10 = 1", "docs", "items", **SUMS))
 def verify(s, d):
+    return _verified(s, d, "id % 10 = 1")
+
+
+def _verified(s, d, chosen):
     items = R.validate_line(V.items(s, d))
     docs = V.documents(s, d)
     sums = C.line_sums(items)
-    expected = docs.where("id % 10 = 1").join(sums, F.col("id") == F.col("document_id"), "left").select("document_no", (F.col("n_items") + F.col("id") % 2).alias("lines"), F.col("s_taxable").alias("taxable"), F.col("s_cgst").alias("cgst"), F.col("s_sgst").alias("sgst"), F.col("s_final").alias("final"))
+    expected = docs.where(chosen).join(sums, F.col("id") == F.col("document_id"), "left").select("document_no", (F.col("n_items") + F.col("id") % 2).alias("lines"), F.col("s_taxable").alias("taxable"), F.col("s_cgst").alias("cgst"), F.col("s_sgst").alias("sgst"), F.col("s_final").alias("final"))
     return C.verify_against(docs, items, expected)
 
 
+@query("a12e_verify_whole", with_views("select d.document_no, coalesce(s.n_items = n.n + d.id % 2, false) as reconciled from docs d left join sums s on s.document_id = d.id left join (select document_id, count(*) as n from items group by 1) n on n.document_id = d.id", "docs", "items", **SUMS))
+def verify_whole(s, d):
+    """a12e_verify over all documents; those with an odd id are given one line too many."""
+    return _verified(s, d, "true")
+
+
 @query("k09_edit_lines", with_views("select document_id, line_no, item_code, cast(case when document_id % 100 = 0 and line_no = 1 then 3 else qty end as decimal(18,2)) as qty from items where document_id % 10 = 0", "items"))
 def edit_lines(s, d):
     from ..operators.mutations import edit_lines as f
 
     items = V.items(s, d).where("document_id % 10 = 0")
+    return _edited(f, items)
+
+
+def _edited(f, items):
     edits = items.where("document_id % 100 = 0 and line_no = 1").select("document_id", "line_no").distinct().select("document_id", "line_no", F.lit(3).alias("qty"), F.lit(None).cast("decimal(20,8)").alias("rate"))
     return f(items, edits).select("document_id", "line_no", "item_code", F.col("qty").cast("decimal(18,2)").alias("qty"))
 
 
+@query("k09_edit_lines_whole", with_views("select document_id, line_no, item_code, cast(case when document_id % 100 = 0 and line_no = 1 then 3 else qty end as decimal(18,2)) as qty from items", "items"))
+def edit_lines_whole(s, d):
+    """k09_edit_lines over the whole table of lines, the edits as they are."""
+    from ..operators.mutations import edit_lines as f
+
+    return _edited(f, V.items(s, d))
+
+
 @query("k09_parent_status", with_views("select document_id, count(*) filter (where needs_review) as n_flagged, case when count(*) filter (where needs_review) > 0 then 'needs_review' else 'ok' end as extraction_status from flagged group by 1", "items", **FLAGGED))
 def parent_status(s, d):
     return C.parent_status(R.validate_line(V.items(s, d)))
@@ -180,6 +202,13 @@ def band_join(s, d):
     return E.band_candidates(docs.where("id % 20 = 0"), docs.where("id % 20 != 0"))
 
 
+@query("j08_band_join_whole", "with n as (select o_orderkey as id, cast(o_totalprice as decimal(14,2)) as t from orders) select a.id as new_id, b.id as old_id from n a join n b on abs(a.t - b.t) < 0.5 and floor(b.t) between floor(a.t) - 1 and floor(a.t) + 1 where a.id % 50 = 0")
+def band_join_whole(s, d):
+    """j08_band_join of the stated query set (id % 50 = 0) against all rows, each document's own included."""
+    docs = V.documents(s, d)
+    return E.band_candidates(docs.where("id % 50 = 0"), docs)
+
+
 @query("j09_duplicates", None)
 def duplicates(s, d):
     docs, items = V.documents(s, d), V.items(s, d)
