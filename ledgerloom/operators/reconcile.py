@@ -9,6 +9,9 @@ DEC = "decimal(20,8)"
 HEADER = {"taxable": "grand_total_taxable", "cgst": "grand_total_cgst", "sgst": "grand_total_sgst", "final": "grand_total_final"}
 LINE = {"taxable": "taxable_amount", "cgst": "cgst_amount", "sgst": "sgst_amount", "final": "final_value"}
 
+#: Descriptions of summary rows that were read as lines.
+SUMMARY_ROW = r"(?i)^(grand\s*total|sub[\s-]?total|total\s*amount|net\s*total|net\s*amount|balance\s*due|amount\s*due|total\s*due|invoice\s*total)"
+
 
 def line_sums(items: DataFrame) -> DataFrame:
     """Per document: s_taxable, s_cgst, s_sgst, s_final, n_items, any_flagged. One shuffle, reduced map-side."""
@@ -73,6 +76,35 @@ def reconcile_view(docs: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumns({"subtotal_ok": sub, "final_ok": fin})
 
 
+def reconcile_quotation(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A12b as the quotation page has it (QuotationDetail.jsx:160-215): subtotal_ok, final_ok, net_due, total_discounts.
+
+    Summary rows among the lines do not count. The printed final is the net
+    due if it lies within 500 of the lines' sum, or below what was billed but
+    above a tenth of it; else the lines' sum is. The lines' finals must meet
+    the printed final within 2.0 as they are, less the lines' discounts or less
+    what was billed beyond the net due; the printed taxable must meet them too,
+    unless the final does. A header without a total passes.
+    """
+    c, zero = F.col, F.lit(0).cast("decimal(28,8)")
+    code = F.trim(F.coalesce("item_code", F.lit("")))
+    summary = F.trim(F.coalesce("description", F.lit(""))).rlike(SUMMARY_ROW) & ((code == "") | code.rlike(r"(?i)^item-?\d+$"))
+    total = lambda *cols: F.coalesce(F.sum(F.coalesce(*cols, F.lit(0))), F.lit(0)).cast("decimal(28,8)")
+    sums = items.where(~summary).groupBy("document_id").agg(total("final_value", "gross_amount").alias("__sum"), total("discount_amount").alias("__off"))
+    df = docs.join(sums, docs["id"] == sums["document_id"], "left").drop("document_id")
+    head = lambda name: F.coalesce(c(name).cast("decimal(28,8)"), zero) if name in docs.columns else zero
+    df = df.withColumns({"__sum": F.coalesce("__sum", zero), "__off": F.coalesce("__off", zero), "__taxable": head("grand_total_taxable"), "__final": head("grand_total_final")})
+    df = df.withColumn("__billed", F.when(c("__taxable") > 0, c("__taxable")).otherwise(c("__sum")))
+    plausible = (c("__final") > 0) & ((F.abs(c("__final") - c("__sum")) < 500) | ((c("__billed") > c("__final")) & (c("__final") * 10 > c("__billed"))))
+    df = df.withColumn("net_due", F.when(plausible, c("__final")).otherwise(c("__sum")))
+    df = df.withColumn("__raw", F.greatest(c("__billed") - c("net_due"), zero))
+    near = lambda x, y: F.abs(x - y) <= 2
+    fin = (c("__final") <= 0) | near(c("__sum"), c("__final")) | near(c("__sum") - c("__off"), c("__final")) | near(c("__sum") - c("__raw"), c("__final"))
+    df = df.withColumn("final_ok", fin).withColumn("total_discounts", F.when(c("__off") > 0, c("__off")).otherwise(c("__raw")))
+    sub = (c("__taxable") <= 0) | near(c("__sum"), c("__taxable")) | c("final_ok")
+    return df.withColumn("subtotal_ok", sub).drop("__sum", "__off", "__taxable", "__final", "__billed", "__raw")
+
+
 def verify_against(docs: DataFrame, items: DataFrame, expected: DataFrame) -> DataFrame:
     """A12e: documents against stated totals (document_no, lines, taxable, cgst, sgst, final): 0.05, final 1.00."""
     c = F.col

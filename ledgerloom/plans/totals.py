@@ -132,6 +132,25 @@ def view_check(s, d):
     return C.reconcile_view(V.documents(s, d), R.validate_line(V.items(s, d))).select("id", "subtotal_ok", "final_ok")
 
 
+QUOTATION = FLAGGED | {
+    "real": r"""select * from flagged where not (regexp_matches(trim(coalesce(description, '')), '(?i)^(grand\s*total|sub[\s-]?total|total\s*amount|net\s*total|net\s*amount|balance\s*due|amount\s*due|total\s*due|invoice\s*total)') and (trim(coalesce(item_code, '')) = '' or regexp_matches(trim(item_code), '(?i)^item-?\d+$')))""",
+    "page": """select d.id, cast(case when d.id % 3 = 0 then d.grand_total_final else 0 end as decimal(28,8)) as expected_taxable, cast(coalesce(d.grand_total_final, 0) as decimal(28,8)) as expected_final,
+coalesce(sum(coalesce(r.final_value, r.gross_amount)), 0) as sum_of_final, coalesce(sum(r.discount_amount), 0) as sum_of_line_discounts from docs d left join real r on r.document_id = d.id group by all""",
+    "billed": "select *, case when expected_taxable > 0 then expected_taxable else sum_of_final end as billed_charges from page",
+    "due": "select *, case when expected_final > 0 and (abs(expected_final - sum_of_final) < 500 or (billed_charges > expected_final and expected_final > billed_charges * 0.1)) then expected_final else sum_of_final end as net_due from billed",
+    "raw": "select *, case when billed_charges > net_due then billed_charges - net_due else 0 end as raw_diff_discount from due",
+    "fin": "select *, case when expected_final > 0 then abs(sum_of_final - expected_final) <= 2 or abs((sum_of_final - sum_of_line_discounts) - expected_final) <= 2 or abs((sum_of_final - raw_diff_discount) - expected_final) <= 2 else true end as final_ok from raw",
+}
+
+
+@query("a12b_quotation_check", with_views("select id, case when expected_taxable > 0 then abs(sum_of_final - expected_taxable) <= 2 or final_ok else true end as subtotal_ok, final_ok, cast(net_due as decimal(20,4)) as net_due, cast(case when sum_of_line_discounts > 0 then sum_of_line_discounts else raw_diff_discount end as decimal(20,4)) as total_discounts from fin", "docs", "items", **QUOTATION))
+def quotation_check(s, d):
+    """A12b in full; a third of the headers state a taxable total."""
+    docs = V.documents(s, d).withColumn("grand_total_taxable", F.when(F.col("id") % 3 == 0, F.col("grand_total_final")))
+    out = C.reconcile_quotation(docs, R.validate_line(V.items(s, d)))
+    return out.select("id", "subtotal_ok", "final_ok", F.col("net_due").cast("decimal(20,4)").alias("net_due"), F.col("total_discounts").cast("decimal(20,4)").alias("total_discounts"))
+
+
 @query("a12c_standalone", with_views("select id, cast(case when gf = 0 and sf > 0 then sf else gf end as decimal(20,4)) as grand_total_final, case when (n_items > 0 and abs((case when gf = 0 and sf > 0 then sf else gf end) - sf) > 1) or fl then 'needs_review' else 'ok' end as extraction_status from j", "docs", "items", **SUMS))
 def standalone(s, d):
     out = C.reconcile_standalone(V.documents(s, d), R.validate_line(V.items(s, d)))
