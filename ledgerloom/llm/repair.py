@@ -32,50 +32,57 @@ from .tokens import encoder
 
 MAGIC = b"LLRPAIR1"
 BASE, END_ID = 50_257, 0
-#: Tokens of a shard at about (a longer document is a shard of its own), rounds, and occurrences a pair needs.
-SHARD_TOKENS, ROUNDS, MIN_COUNT = 1 << 20, 5, 12
-#: Bits of a round's pair table.
-SLOT_BITS = 18
+#: Tokens of a shard at about (a longer document is a shard of its own), and occurrences a pair needs.
+SHARD_TOKENS, MIN_COUNT = 1 << 20, 12
+#: Bits of the table that finds pairs too rare to count; a round takes one in SHARE of the symbols left, LEAST at least.
+SLOT_BITS, SHARE, LEAST = 20, 4, 256
 #: Symbols stay within 16 bits.
 MAX_RULES = (1 << 16) - BASE
 #: Bytes of text that a range partition gets at about.
 PARTITION_BYTES = 64 << 20
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int = BASE, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids and whether each ends its document -> (symbols, rules as (n, 2), whether each symbol ends its document)."""
+def _apart(pair: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """`inside` without every second place of a run of one symbol, where a pair overlaps itself."""
+    same = np.zeros(len(pair), dtype=bool)
+    same[1:] = (pair[1:] == pair[:-1]) & inside[1:] & inside[:-1]
+    if not same.any():
+        return inside
+    place = np.arange(len(pair))
+    return inside & ((place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0)
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int = BASE, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and whether each ends its document -> (symbols, rules as (n, 2), whether each symbol ends its document).
+
+    Pairs are counted exactly; rounds go on until none occurs `min_count` times or the symbols run out.
+    """
     s, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
     made, none = 0, np.int32(1 << 30)
-    for k in range(rounds):
-        room = -(-(max_rules - made) // (rounds - k))
-        if len(s) < 2 or room <= 0:
-            break
-        # A slot of the hash table stands for one pair, the last that fell into it; others that share it wait for a later round.
+    while made < max_rules and len(s) > 1:
+        room = min(max_rules - made, max(LEAST, -(-(max_rules - made) // SHARE)))
         pair = (s[:-1] << np.uint32(16)) | s[1:]
         slot = (pair * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
-        inside = ~last[:-1]
-        owner = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
-        owner[slot] = pair
-        mine = inside & (owner[slot] == pair)
-        counts = np.bincount(slot[mine], minlength=1 << SLOT_BITS)
-        top = np.flatnonzero(counts >= min_count)
-        top = top[np.lexsort((owner[top], -counts[top]))][:room]
+        inside = _apart(pair, ~last[:-1])
+        # A slot holds at least as many as each of its pairs.
+        at = np.flatnonzero(inside & (np.bincount(slot[inside], minlength=1 << SLOT_BITS) >= min_count)[slot])
+        codes, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
+        top = np.flatnonzero(n >= min_count)
+        top = top[np.lexsort((codes[top], -n[top]))][:room]
         if not len(top):
             break
-        rank_of = np.full(1 << SLOT_BITS, none, dtype=np.int32)
+        rank_of = np.full(len(codes), none, dtype=np.int32)
         rank_of[top] = np.arange(len(top), dtype=np.int32)
         rank = np.full(len(s) + 1, none, dtype=np.int32)
-        rank[1:-1] = np.where(mine, rank_of[slot], none)
+        rank[at + 1] = rank_of[which]
         mid = rank[1:-1]
         # Of two neighbouring places at most one wins: the more frequent pair, on ties the left.
         win = np.flatnonzero((mid < none) & (mid < rank[:-2]) & (mid <= rank[2:]))
         used = np.zeros(len(top), dtype=bool)
         used[mid[win]] = True
-        if not len(win):
-            break
         number = np.cumsum(used) - 1
-        chosen = owner[top[used]]
+        chosen = codes[top[used]]
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         s[win] = (base + made + number[mid[win]]).astype(np.uint32)
         last[win] = last[win + 1]
