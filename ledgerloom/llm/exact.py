@@ -1,6 +1,7 @@
-"""Exact deduplication: a tree merge of digest runs (operator 8, DataFrame functions only).
+"""Exact deduplication: salted aggregation of digests (operator 8, DataFrame functions only).
 
-Every document joins one of `runs` runs. A round merges `fan` neighbouring
+It stands in for the dealt tree merge: runs are neither sorted nor merged in
+order. Every document joins one of `runs` runs by a hash. A round merges `fan` neighbouring
 runs: rows are first reduced where they lie (map-side), then each merged run is
 dealt over all partitions by digest, so no task ever holds a whole run or a
 whole group. A row of a run is (digest, length, second hash) with the largest,
