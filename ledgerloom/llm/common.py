@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,12 +15,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see, as spark.checkpoint.dir names it; tests set their own where the cluster has none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -33,15 +29,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs one read."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder on whatever file system holds it."""
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` returned and nothing reads any more, and let Spark drop shuffle files that nothing refers to."""
+    spark = tables[0].sparkSession
     jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    for path in filter(None, (t.__dict__.pop("_written_to", None) for t in tables)):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -65,8 +67,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     return df.mapInArrow(run, schema)
 
 
-#: Bytes of input that one step of a Python operator holds at once.
-STEP_BYTES = 8 << 20
+#: Bytes of input that one step of a Python operator holds at once; Spark itself bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch.
+STEP_BYTES = 2 << 20
 
 
 def sliced(batch: pa.RecordBatch, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -62,24 +62,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
 
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     arrow = to_arrow_schema(schema)
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced=False)
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in sliced(batch, STEP_BYTES // 4):
+            for part in sliced(batch, 2 * STEP_BYTES):
                 cols: dict[str, list] = {f.name: [] for f in arrow}
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                for doc, row, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(texts)):
-                    data += end
-                    at, n = 0, len(data) // 4
+                ids, begins = enc.encode_arrow(part.column(2))
+                ids, at = ids.astype("<u4").tobytes(), (4 * begins).tolist()
+                for doc, row, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), at, at[1:]):
+                    data = ids[a:b] + end
+                    at_id, n = 0, len(data) // 4
                     for size in cuts(n, capacity, grain):
-                        own = data[4 * at : 4 * (at + size)]
-                        for name, value in (("doc_id", doc), ("row", row), ("start", at), ("length", size), ("ids_crc32", zlib.crc32(own)), ("doc_tokens", n)):
+                        own = data[4 * at_id : 4 * (at_id + size)]
+                        for name, value in (("doc_id", doc), ("row", row), ("start", at_id), ("length", size), ("ids_crc32", zlib.crc32(own)), ("doc_tokens", n)):
                             cols[name].append(value)
                         if with_ids:
                             cols["ids"].append(own)
-                        at += size
+                        at_id += size
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -34,22 +34,22 @@ MAGIC = b"LLRPAIR1"
 BASE, END_ID = 50_257, 0
 #: Tokens of a shard at about (a longer document is a shard of its own), and occurrences a pair needs.
 SHARD_TOKENS, MIN_COUNT = 1 << 20, 12
-#: Bits of the table that finds pairs too rare to count; a round takes one in SHARE of the symbols left, LEAST at least.
-SLOT_BITS, SHARE, LEAST = 20, 4, 256
+#: Bits at most of the table that finds pairs too rare to count; a round takes one in SHARE of the symbols left, LEAST at least.
+SLOT_BITS, SHARE, LEAST = 18, 4, 256
 #: Symbols stay within 16 bits.
 MAX_RULES = (1 << 16) - BASE
 #: Bytes of text that a range partition gets at about.
 PARTITION_BYTES = 64 << 20
 
 
-def _apart(pair: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """`inside` without every second place of a run of one symbol, where a pair overlaps itself."""
-    same = np.zeros(len(pair), dtype=bool)
-    same[1:] = (pair[1:] == pair[:-1]) & inside[1:] & inside[:-1]
-    if not same.any():
-        return inside
-    place = np.arange(len(pair))
-    return inside & ((place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0)
+def _apart(at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Which places count: of a run of places with one pair, which overlap each other, every second one."""
+    run = np.zeros(len(at), dtype=bool)
+    run[1:] = (at[1:] == at[:-1] + 1) & (pair[1:] == pair[:-1])
+    if not run.any():
+        return np.ones(len(at), dtype=bool)
+    k = np.arange(len(at))
+    return (k - np.maximum.accumulate(np.where(run, 0, k))) % 2 == 0
 
 
 def compress(ids: np.ndarray, last: np.ndarray, base: int = BASE, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,37 +59,63 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int = BASE, min_count: int
     """
     s, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    made, none = 0, np.int32(1 << 30)
-    while made < max_rules and len(s) > 1:
-        room = min(max_rules - made, max(LEAST, -(-(max_rules - made) // SHARE)))
-        pair = (s[:-1] << np.uint32(16)) | s[1:]
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
-        inside = _apart(pair, ~last[:-1])
+    made = 0
+    # Places whose pair may be frequent; a pair grows no more frequent, so a place comes back only beside a new symbol.
+    alive = ~last
+    alive[-1:] = False
+    while made < max_rules:
+        at = np.flatnonzero(alive)
+        pair = (s[at] << np.uint32(16)) | s[at + 1]
+        bits = min(SLOT_BITS, max(8, len(pair).bit_length() - 1))
+        slot = ((pair * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.intp)
         # A slot holds at least as many as each of its pairs.
-        at = np.flatnonzero(inside & (np.bincount(slot[inside], minlength=1 << SLOT_BITS) >= min_count)[slot])
-        codes, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
+        hot = (np.bincount(slot, minlength=1 << bits) >= min_count)[slot]
+        at, pair = at[hot], pair[hot]
+        counted = _apart(at, pair)
+        at_hot, slot = at, slot[hot][counted]
+        at, pair = at[counted], pair[counted]
+        ordered = np.sort(pair)
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+        codes, n = ordered[heads], np.diff(heads, append=len(ordered))
         top = np.flatnonzero(n >= min_count)
-        top = top[np.lexsort((codes[top], -n[top]))][:room]
         if not len(top):
             break
-        rank_of = np.full(len(codes), none, dtype=np.int32)
-        rank_of[top] = np.arange(len(top), dtype=np.int32)
-        rank = np.full(len(s) + 1, none, dtype=np.int32)
-        rank[at + 1] = rank_of[which]
-        mid = rank[1:-1]
+        room = min(max_rules - made, max(LEAST, -(-(max_rules - made) // SHARE)))
+        top = top[np.lexsort((codes[top], -n[top]))][:room]
+        rank_of = np.argsort(top)
+        codes = codes[top][rank_of]
+        # Places of the chosen pairs: first by slot, then exactly.
+        mine = np.zeros(1 << bits, dtype=bool)
+        mine[(codes * np.uint32(2654435761)) >> np.uint32(32 - bits)] = True
+        some = np.flatnonzero(mine[slot])
+        k = np.minimum(np.searchsorted(codes, pair[some]), len(codes) - 1)
+        exact = codes[k] == pair[some]
+        place, rank = at[some[exact]], rank_of[k[exact]]
+        alive = np.zeros(len(s), dtype=bool)
+        alive[at_hot] = True
         # Of two neighbouring places at most one wins: the more frequent pair, on ties the left.
-        win = np.flatnonzero((mid < none) & (mid < rank[:-2]) & (mid <= rank[2:]))
+        beside = place[1:] == place[:-1] + 1
+        won = np.ones(len(place), dtype=bool)
+        won[1:] &= ~beside | (rank[1:] < rank[:-1])
+        won[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        win, rank = place[won], rank[won]
         used = np.zeros(len(top), dtype=bool)
-        used[mid[win]] = True
-        number = np.cumsum(used) - 1
-        chosen = codes[top[used]]
+        used[rank] = True
+        by_rank = np.empty(len(top), dtype=np.uint32)
+        by_rank[rank_of] = codes
+        chosen = by_rank[used]
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
-        s[win] = (base + made + number[mid[win]]).astype(np.uint32)
+        s[win] = (base + made + np.cumsum(used) - 1)[rank].astype(np.uint32)
         last[win] = last[win + 1]
         keep = np.ones(len(s), dtype=bool)
         keep[win + 1] = False
-        s, last = s[keep], last[keep]
-        made += int(used.sum())
+        now = win - np.arange(len(win))
+        s, last, alive = s[keep], last[keep], alive[keep]
+        alive[now] = True
+        alive[np.maximum(now - 1, 0)] = True
+        alive &= ~last
+        alive[-1:] = False
+        made += len(chosen)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
     return s, table.astype(np.uint32), last
 
@@ -167,10 +193,11 @@ class Shard:
         return x
 
 
-def pack_shard(number: int, doc_ids: list[int | None], texts: list[bytes], base: int = BASE) -> bytes:
-    """Documents' ids (little-endian uint32 bytes) to a shard, without the closing zero."""
-    sizes = np.array([len(t) // 4 for t in texts], dtype=np.int64)
-    ids = np.frombuffer(b"".join(texts), dtype="<u4")
+def pack_shard(number: int, doc_ids: list[int | None], texts: list[bytes] | list[np.ndarray], base: int = BASE) -> bytes:
+    """Documents' ids (arrays, or little-endian uint32 bytes) to a shard, without the closing zero."""
+    arrays = [np.frombuffer(t, dtype="<u4") if isinstance(t, bytes) else t for t in texts]
+    sizes = np.array([len(t) for t in arrays], dtype=np.int64)
+    ids = np.concatenate(arrays)
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(sizes) - 1] = True
     sym, rules, ends = compress(ids, last, base)
@@ -203,39 +230,43 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """Encode whole texts, append `end_id`, and write shards in ascending doc_id order (nulls first).
 
     A null text is empty: its document is the end id alone. Repeated doc_ids
-    are documents of their own, in no fixed order among themselves.
+    are documents of their own, ordered by the hash of their texts (equal ones
+    have equal ids, so their order does not show). Extra columns are ignored.
     """
     from pyspark import TaskContext
 
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(n_bytes // PARTITION_BYTES) + 1)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     schema = T.StructType([T.StructField("value", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced=True)
         part, seq = TaskContext.get().partitionId(), 0
+        end = np.array([end_id], dtype=enc.kind)
         ids: list[int | None] = []
-        texts: list[bytes] = []
-        held = 0
+        texts: list[np.ndarray] = []
+        held = n_docs = 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack_shard((part << 32) | seq, ids, texts)], pa.binary())], names=["value"])
 
         for batch in batches:
-            for piece in sliced(batch, STEP_BYTES // 4):
-                for doc, data in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    if texts and held + len(data) // 4 >= shard_tokens:
+            for piece in sliced(batch, 2 * STEP_BYTES):
+                data, begins = enc.encode_arrow(piece.column(1))
+                at = begins.tolist()
+                for doc, a, b in zip(piece.column(0).to_pylist(), at, at[1:]):
+                    if n_docs and held + b - a >= shard_tokens:
                         yield flush()
-                        seq, ids, texts, held = seq + 1, [], [], 0
+                        seq, ids, texts, held, n_docs = seq + 1, [], [], 0, 0
                     ids.append(doc)
-                    texts.append(data + end)
-                    held += len(data) // 4 + 1
-        if texts:
+                    texts.append(np.concatenate((data[a:b], end)))
+                    held, n_docs = held + b - a + 1, n_docs + 1
+        if n_docs:
             yield flush()
 
-    write_binary(ordered.mapInArrow(run, schema), "value", path, 8)
+    write_binary(ordered.select("doc_id", "text").mapInArrow(run, schema), "value", path, 8)
 
 
 ROWS = T.StructType(
@@ -265,9 +296,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield {"shard": [s.number] * n, "doc_id": s.doc_ids, "place": starts, "n_tokens": s.doc_tokens.astype(np.int64), "ids_crc32": crc, "shard_bytes": [s.symbols.nbytes + 12 * len(s.rules)] * n, "n_rules": [len(s.rules)] * n}
 
     rows = materialize(arrow_map(read_binary(spark, path), step, ROWS), "token-rows")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    begins = totals.withColumn("begin", F.sum("total").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))).select(F.col("shard").alias("__shard"), F.coalesce("begin", F.lit(0)).alias("begin"))
-    return rows.join(begins, F.col("shard") == F.col("__shard")).select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "shard", "n_rules", "shard_bytes")
+    begins = _begins(rows.groupBy("shard").agg(F.sum("n_tokens").alias("total")))
+    return rows.join(begins.withColumnRenamed("shard", "__shard"), F.col("shard") == F.col("__shard")).select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "shard", "n_rules", "shard_bytes")
+
+
+def _begins(totals: DataFrame) -> DataFrame:
+    """(shard, total) -> (shard, begin), the ids in all shards before; summed within partitions, within groups of 1,024 partitions, and over those groups."""
+    def before(group: list[str], by: str) -> Column:
+        return F.coalesce(F.sum("total").over(W.partitionBy(*group).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    shards = totals.withColumn("part", F.shiftright("shard", 32)).withColumn("inner", before(["part"], "shard"))
+    parts = totals.groupBy(F.shiftright("shard", 32).alias("part")).agg(F.sum("total").alias("total")).withColumn("group", F.shiftright("part", 10))
+    groups = parts.groupBy("group").agg(F.sum("total").alias("total")).withColumn("outer", before([], "group")).select(F.col("group").alias("__group"), "outer")
+    parts = parts.withColumn("middle", before(["group"], "part")).join(groups, F.col("group") == F.col("__group")).select(F.col("part").alias("__part"), (F.col("middle") + F.col("outer")).alias("middle"))
+    return shards.join(parts, F.col("part") == F.col("__part")).select("shard", (F.col("inner") + F.col("middle")).alias("begin"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -1,100 +1,215 @@
-"""Tokenising whole texts with the public tokenizers, one bounded cache per worker.
+"""Tokenising whole texts with the public tokenizers, a bounded cache of words per worker.
 
 Texts repeat words, and both tokenizers here never merge over a single space
-between two non-space characters. So a text is cut at those spaces. A piece not
-seen before is cut further where neither tokenizer ever merges (at a single line
-end, and between letters and a closing point or comma), and what is still
-unknown goes to the tokenizers library together. Ids come back as bytes.
+between two non-space characters. So Arrow cuts texts at those spaces and at
+single line ends and finds the distinct pieces of a batch. Nor does either
+merge letters with the signs behind them, so a piece of letters and signs is
+two atoms, and only atoms that the cache lacks reach the tokenizers library,
+many at a time. The cache has two generations, so that it stays bounded and
+words still in use survive.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from codecs import charmap_decode
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept per worker; the cache starts anew beyond it.
-CACHE_PIECES = 500_000
-#: Longer pieces are encoded but not kept.
+#: Atoms in a generation of the cache; there are two.
+GENERATION = 150_000
+#: Longer atoms are encoded but not kept.
 CACHE_CHARS = 64
+#: Words that go through the library as one text.
+TOGETHER = 20_000
 
-_RARE = re.compile(r"[^\S \n]")
+#: The mark of a text's first piece, and texts whose spaces do not simply separate words.
+_FIRST = "\x02"
+_ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[\x02\t\v\f\r\x1c-\x1f\x85\xa0  -     　]"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, and ASCII signs other than the apostrophe.
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
+_LEAD = f"^[\n{_FIRST}]?"
+_WORD = re.compile(" ?" + _LETTERS)
+
+
+def _bytes_as_letters() -> str:
+    """The letters by which byte-level vocabularies write bytes: printable ones themselves, others from U+0100 on; a line end stays."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    letters = [chr(b if b in shown else next(rest)) for b in range(256)]
+    letters[0x0A] = "\n"
+    return "".join(letters)
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers, the tokenizer's own and no special tokens."""
+    """Ids of texts, the tokenizer's own and no special tokens."""
 
     def __init__(self, path: str, spaced: bool):
-        """spaced: tokens carry the space before them (byte-level); else spaces only separate words."""
+        """spaced: tokens carry the space before them (byte-level); else spaces only separate words, and case does not matter."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaced = spaced
-        self.cache: dict[str, bytes] = {}
+        # The library's model alone, for texts that are one word each: no pattern, and no second cache.
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        end = model.get("end_of_word_suffix")
+        self.direct = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **({"end_of_word_suffix": end} if end else {})))
+        self.direct.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.letters = _bytes_as_letters()
+        #: Whether an id opens (spaced) or closes a word.
+        self.edge = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        self.edge[[k for t, k in model["vocab"].items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+        self.kind = np.dtype("<u2" if len(self.edge) <= 1 << 16 else "<u4")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encode_arrow(pa.array(texts, pa.large_string()))
+        data, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text begins among them and the end); a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        strange = pc.match_substring_regex(texts, _ODD)
+        odd = np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()
+        # An odd text is empty here and comes as pieces of its own.
+        even = pc.if_else(strange, pa.scalar("", pa.large_string()), texts) if odd else texts
+        if self.spaced:
+            even = pc.binary_join_element_wise(pa.scalar(_FIRST, pa.large_string()), pc.replace_substring(even, "\n", " \n"), pa.scalar("", pa.large_string()))
+        else:
+            even = pc.ascii_lower(pc.replace_substring(even, "\n", " "))
+        lists = pc.split_pattern(even, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        atoms, cut, cut_sizes = self._cut(coded.dictionary)
+        if odd:
+            at = {a: k for k, a in enumerate(atoms)}
+            more = [[at.setdefault(a, len(at)) for a in self._odd(texts[k].as_py())] for k in odd]
+            # An empty text has one piece, which now stands for all atoms of the odd one.
+            codes = codes.copy()
+            codes[(np.cumsum(sizes) - 1)[odd]] = len(cut_sizes) + np.arange(len(odd))
+            atoms, cut = list(at), np.concatenate([cut, *(np.array(x, dtype=np.int64) for x in more)])
+            cut_sizes = np.concatenate([cut_sizes, [len(x) for x in more]])
+        values = self._values(atoms)
+        flat = np.frombuffer(b"".join(values), dtype=self.kind)
+        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.kind.itemsize
+        for at, n in ((cut, cut_sizes), (codes, sizes)):
+            flat, begins = _gather(flat, length, at, n)
+            length = np.diff(begins)
+        return flat, begins
+
+    def _cut(self, pieces: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces -> (atoms, numbers of atoms end to end, atoms per piece)."""
+        plain = pc.match_substring_regex(pieces, _LEAD + _LETTERS + _SIGNS + "$").to_numpy(zero_copy_only=False)
+        simple = pieces.filter(pa.array(plain))
+        core = pc.replace_substring_regex(simple, f"{_LEAD}|{_SIGNS}$", "")
+        tail = pc.replace_substring_regex(simple, _LEAD + _LETTERS, "").dictionary_encode()
+        parts = np.full((len(pieces), 3), -1, dtype=np.int64)
+        atoms = ["\n"]
+        if self.spaced:
+            line, first = pc.starts_with(simple, "\n"), pc.starts_with(simple, _FIRST)
+            lead = pc.if_else(pc.or_(line, first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+            core = pc.binary_join_element_wise(lead, core, pa.scalar("", pa.large_string()))
+            parts[np.flatnonzero(plain)[line.to_numpy(zero_copy_only=False)], 0] = 0
+        core = core.dictionary_encode()
+        parts[plain, 1] = core.indices.to_numpy(zero_copy_only=False) + len(atoms)
+        atoms += core.dictionary.to_numpy(zero_copy_only=False).tolist()
+        tails = tail.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = tail.indices.to_numpy(zero_copy_only=False)
+        parts[plain, 2] = np.where(np.array([bool(t) for t in tails], dtype=bool)[number], number + len(atoms), -1) if tails else -1
+        atoms += tails
+        rest = np.flatnonzero(~plain)
+        sizes, flat = (parts >= 0).sum(axis=1), parts[parts >= 0]
+        if not len(rest):
+            return atoms, flat, sizes
+        # Other pieces are cut here; their atoms follow, and are then put in their places.
+        at = {a: k for k, a in enumerate(atoms)}
+        more = [[at.setdefault(a, len(at)) for a in self._atoms(p)] for p in pieces.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()]
+        sizes[rest] = [len(x) for x in more]
+        out = np.empty(int(sizes.sum()), dtype=np.int64)
+        other = np.repeat(~plain, sizes)
+        out[~other], out[other] = flat, [k for x in more for k in x]
+        return list(at), out, sizes
+
+    def _odd(self, text: str) -> list[str]:
+        """Atoms of any text."""
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text)
-        out = _CUT.split(text) if odd else text.split(" ")
-        out[1:] = [" " + x for x in out[1:]]
-        return out
+        return [a for k, p in enumerate(_CUT.split(text)) for a in self._lines(" " * (k > 0) + p)]
 
-    def parts(self, piece: str) -> list[str]:
-        """A piece as parts that encode by themselves; itself if it has none."""
-        if "\n" in piece:
-            lines = piece.split("\n")
-            if all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
-                out = self.parts(lines[0])
-                for x in lines[1:]:
-                    out = [*out, "\n", *self.parts(x)]
-                return out
-        if len(piece) > 1 and piece[-1] in ".," and piece[:-1].lstrip(" ").lower().isalpha():
-            return [piece[:-1], piece[-1]]
+    def _atoms(self, piece: str) -> list[str]:
+        """Texts that encode by themselves and follow each other in a piece of an even text, with the space before them."""
+        if not self.spaced:
+            return [piece]
+        if piece[0] == _FIRST:
+            return [piece[1:]]
+        return ["\n", piece[1:]] if piece[0] == "\n" else [" " + piece]
+
+    @staticmethod
+    def _lines(piece: str) -> list[str]:
+        """Cut at single line ends, if all are."""
+        lines = piece.split("\n")
+        if len(lines) > 1 and all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
+            return [y for k, x in enumerate(lines) for y in (["\n"] * (k > 0) + [x])]
         return [piece]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        known = self.cache
-        made = {p: self.parts(p) for p in set().union(*cut).difference(known)} if cut else {}
-        known.update(self._fresh(list(set().union(*made.values()).difference(known)) if made else []))
-        for p, parts in made.items():
-            if len(parts) > 1:
-                known[p] = b"".join([known[x] for x in parts])
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for p in made:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+    def _values(self, atoms: list[str]) -> list[bytes]:
+        """ids of atoms, from the cache or the library."""
+        young, old = self.young, self.old
+        out = list(map(young.get, atoms))
+        if None in out:
+            gaps = [k for k, v in enumerate(out) if v is None]
+            wanted = [atoms[k] for k in gaps]
+            found = list(map(old.get, wanted))
+            made = self._fresh(list(dict.fromkeys(a for a, v in zip(wanted, found) if v is None)))
+            for k, a, v in zip(gaps, wanted, found):
+                out[k] = v = made[a] if v is None else v
+                if len(a) <= CACHE_CHARS:
+                    young[a] = v
+            if len(young) > GENERATION:
+                self.old, self.young = young, {}
         return out
 
     def _fresh(self, new: list[str]) -> dict[str, bytes]:
-        """Unknown parts encoded as one text, joined where no token reaches across, and cut apart by offsets.
-
-        Parts with white space inside or at their end go through one by one.
-        """
-        plain = [x for x in new if len(y := x.split()) == 1 and (y[0] == x or (self.spaced and x == " " + y[0]))]
-        done = set(plain)
-        out = {x: np.array(self.tok.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in new if x not in done}
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
-            lead = ["" if x[0] == " " else "\n" if self.spaced else " " for x in some]
-            enc = self.tok.encode("".join([y for pair in zip(lead, some) for y in pair]), add_special_tokens=False)
-            ids = np.array(enc.ids, dtype="<u4")
-            begin = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids))
-            size = np.array([len(x) for x in some])
-            first = np.cumsum(size + [len(x) for x in lead]) - size
-            a, b = np.searchsorted(begin, first), np.searchsorted(begin, first + size)
-            data = ids.tobytes()
-            out.update({x: data[4 * i : 4 * j] for x, i, j in zip(some, a.tolist(), b.tolist())})
+        """ids of texts that the cache lacks; words of Latin letters go through together and are told apart by their edge tokens."""
+        word = _WORD.fullmatch
+        plain = [x for x in new if word(x) and (x[0] == " ") == self.spaced]
+        done = set(plain) if len(plain) < len(new) else ()
+        rest = [x for x in new if x not in done] if done or not plain else []
+        out = {x: np.array(e.ids, dtype=self.kind).tobytes() for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False))}
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            text = "\n".join(some) if self.spaced else "\n".join(some).lower()
+            ids = np.array(self.direct.encode_batch_fast([charmap_decode(text.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, dtype=self.kind)
+            edges = np.flatnonzero(self.edge[ids])
+            at = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
+            if len(at) != len(some) + 1:
+                raise RuntimeError("words and edge tokens differ in number")
+            data, size = ids.tobytes(), self.kind.itemsize
+            out.update({x: data[size * a : size * b] for x, a, b in zip(some, at, at[1:])})
         return out
 
 
+def _gather(flat: np.ndarray, length: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of `flat` (entry k has length[k] values) named by codes, put end to end, and where each of the groups of `sizes` codes begins."""
+    first = np.cumsum(length) - length
+    n = length[codes]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    out = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+    return out, ends[np.concatenate(([0], np.cumsum(sizes)))]
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

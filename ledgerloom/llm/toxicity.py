@@ -34,6 +34,8 @@ L1, STEPS = 1e-4, 1500
 #: A document is rejected when P(grade >= 1) reaches this.
 REJECT = 0.3
 GRADES = 3
+#: Words whose features a worker remembers.
+KNOWN_WORDS = 100_000
 #: Characters of the beginnings, and the cap of the share, in percent of the words.
 STEM, MAX_SHARE = (4, 8), 3.0
 
@@ -67,7 +69,7 @@ class OrdinalModel:
     thresholds: list[float] = field(default_factory=lambda: [30.0, 31.0])
 
     def __post_init__(self):
-        self._stems: dict[bytes, list[bytes]] = {}
+        self._stems: dict[bytes, tuple[bytes, ...]] = {}
 
     def score(self, text: bytes) -> float:
         """w.x; which features a word has is remembered, so a text costs a lookup per distinct word."""
@@ -77,9 +79,9 @@ class OrdinalModel:
         for w, n in counts.items():
             hit = known.get(w)
             if hit is None:
-                if len(known) > 1 << 18:
+                if len(known) >= KNOWN_WORDS:
                     known.clear()
-                hit = known[w] = [f for f in features(w)[0] if f in self.weights]
+                hit = known[w] = tuple(f for f in features(w)[0] if f in self.weights)
             for f in hit:
                 found[f] += n
         total = 0.0
@@ -149,11 +151,13 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "grade")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grade", T.IntegerType()), T.StructField("sketch", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
-    def step(batch: pa.RecordBatch) -> dict:
-        split = [words(t) for t in byte_texts(batch, "text")]
-        bags = [features(t)[0] for t in byte_texts(batch, "text")]
-        sketch = [min((xxhash.xxh64_intdigest(b" ".join(ws[k : k + 5])) for k in range(max(1, len(ws) - 4))), default=0) - (1 << 63) for ws in split]
-        return {"doc_id": batch.column(0).to_pylist(), "grade": batch.column(2).to_pylist(), "sketch": sketch, "n_words": [len(ws) for ws in split], "words": [list(b) for b in bags], "counts": [list(b.values()) for b in bags]}
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        for k, text in enumerate(byte_texts(batch, "text")):
+            # One text at a time: a text's words and counts are gone before the next one's are made.
+            ws = words(text)
+            sketch = min((xxhash.xxh64_intdigest(b" ".join(ws[k : k + 5])) for k in range(max(1, len(ws) - 4))), default=0) - (1 << 63)
+            bag, n = features(text)
+            yield {"doc_id": [batch.column(0)[k].as_py()], "grade": [batch.column(2)[k].as_py()], "sketch": [sketch], "n_words": [n], "words": [list(bag)], "counts": [list(bag.values())]}
 
     bags = materialize(arrow_map(rows, step, schema), "labelled")
     first = bags.groupBy("sketch").agg(F.min("doc_id").alias("__first"))
