@@ -9,19 +9,23 @@ the table; the tuple itself then decides.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, byte_texts, sliced
+from .common import STEP_BYTES, byte_texts, materialize, sliced
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast table; more items go to further tables, which a worker loads one at a time.
+#: Bytes of benchmark text in one broadcast table; more items go to further tables, one after another.
 BLOCK_BYTES = 8 << 20
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -104,45 +108,97 @@ SCHEMA = T.StructType(
 )
 
 
+def _broadcast(spark: SparkSession, items: list[tuple[object, bytes]], window: int) -> Broadcast:
+    """A block's table, pickled: a worker unpickles it once per task."""
+    return spark.sparkContext.broadcast(pickle.dumps(WindowTable(items, window), protocol=5))
+
+
+def _summed(text: bytes, n_words: int, hit: np.ndarray, found: set, spans: bool) -> tuple:
+    """What SCHEMA says of a document, after its doc_id."""
+    named = sorted({"null" if i is None else str(i) for i in found})
+    clean = None if not spans else without(text, hit).decode() if hit.any() else text.decode()
+    return n_words, int(hit.sum()), len(named), named, hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit.any()), clean
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: counts, matching items (sorted as strings) and, with `spans`, the text without hit words.
 
     A null or empty text has no words and is clean; a null item text has no
     windows; a null item_id is listed as "null". Repeated items count once.
     The removed spans run from a hit's first to its last byte; what separates
-    the remaining words stays as it was. Extra columns are ignored.
+    the remaining words stays as it was. Repeated rows are scanned each; extra
+    columns are ignored; an empty table gives no rows.
+
+    A benchmark of one block is scanned in one pass. Of a larger one the blocks
+    are scanned one after another, each broadcast destroyed before the next, and
+    their hits are written and put together at the end.
     """
     spark = docs.sparkSession
-    tables = [spark.sparkContext.broadcast(pickle.dumps(WindowTable(b, window), protocol=5)) for b in _blocks(benchmark, block_bytes)]
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(tables[0].value) if len(tables) == 1 else None
+    def rows_of(ids: pa.Array, texts: list[bytes], split: list[list[bytes]], hits: list[np.ndarray], found: list[set]) -> pa.RecordBatch:
+        cols = list(zip(*[_summed(t, len(w), h, f, spans) for t, w, h, f in zip(texts, split, hits, found)])) or [[]] * (len(arrow) - 1)
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(list(c), f.type) for c, f in zip(cols, list(arrow)[1:]))], schema=arrow)
+
+    if second is None:
+        one = _broadcast(spark, first, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pickle.loads(one.value)
+            for batch in batches:
+                for part in sliced(batch, STEP_BYTES):
+                    texts = byte_texts(part, "text")
+                    split = [words(t) for t in texts]
+                    hits, found = [np.zeros(len(w), dtype=bool) for w in split], [set() for _ in split]
+                    for w, h, f in zip(split, hits, found):
+                        table.scan(w, h, f)
+                    yield rows_of(part.column(0), texts, split, hits, found)
+
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+    numbered = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+    hits_type = T.StructType([T.StructField("row", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def hits_of(one: Broadcast) -> DataFrame:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pickle.loads(one.value)
+            for batch in batches:
+                for part in sliced(batch, STEP_BYTES):
+                    out: list[tuple] = []
+                    for row, text in zip(part.column(1).to_pylist(), byte_texts(part, "text")):
+                        w, f = words(text), set()
+                        table.scan(w, h := np.zeros(len(w), dtype=bool), f)
+                        if f:
+                            out.append((row, np.flatnonzero(h).tolist(), ["null" if i is None else str(i) for i in f]))
+                    cols = list(zip(*out)) or [[]] * 3
+                    schema = to_arrow_schema(hits_type)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        return numbered.select("text", "row").mapInArrow(step, hits_type)
+
+    found = []
+    for items in itertools.chain([first, second], blocks):
+        one = _broadcast(spark, items, window)
+        found.append(materialize(hits_of(one), "hits"))
+        one.destroy()
+    every = functools.reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("items")).alias("items"))
+    joined = numbered.join(every.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left").select("doc_id", "text", "at", "items")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, STEP_BYTES):
                 texts = byte_texts(part, "text")
                 split = [words(t) for t in texts]
-                hits, found = [np.zeros(len(w), dtype=bool) for w in split], [set() for _ in split]
-                for t in tables:
-                    table = one or pickle.loads(t.value)
-                    for w, h, f in zip(split, hits, found):
-                        table.scan(w, h, f)
-                named = [sorted({"null" if i is None else str(i) for i in f}) for f in found]
-                cols = {
-                    "doc_id": part.column(0).cast(pa.int64()),
-                    "n_words": [len(w) for w in split],
-                    "n_hit": [int(h.sum()) for h in hits],
-                    "n_items": [len(x) for x in named],
-                    "items": named,
-                    "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named],
-                    "contaminated": [bool(h.any()) for h in hits],
-                    "clean_text": [without(t, h).decode() if h.any() else t.decode() for t, h in zip(texts, hits)] if spans else [None] * len(texts),
-                }
-                yield pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                hits = [np.zeros(len(w), dtype=bool) for w in split]
+                for h, at in zip(hits, part.column(2).to_pylist()):
+                    h[at or []] = True
+                yield rows_of(part.column(0), texts, split, hits, [set(x or ()) for x in part.column(3).to_pylist()])
+
+    return joined.mapInArrow(last, SCHEMA)
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
@@ -170,19 +226,32 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` without its contaminated rows, all columns as they were, in one pass and without a shuffle."""
-    tables = [docs.sparkSession.sparkContext.broadcast(pickle.dumps(WindowTable(b, window), protocol=5)) for b in _blocks(benchmark, block_bytes)]
+    """`docs` without its contaminated rows, all columns as they were, without a shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(tables[0].value) if len(tables) == 1 else None
-        for batch in batches:
-            for part in sliced(batch, STEP_BYTES):
-                split = [words(t) for t in byte_texts(part, "text")]
-                hits = [np.zeros(len(w), dtype=bool) for w in split]
-                for t in tables:
-                    table = one or pickle.loads(t.value)
-                    for w, h in zip(split, hits):
-                        table.scan(w, h, set())
-                yield part.filter(pa.array([not h.any() for h in hits], pa.bool_()))
+    Rows with a null or empty text stay; of repeated rows all stay or go. A
+    benchmark of more than one block takes a pass for each over what is left,
+    written in between, and no more than one broadcast exists at a time.
+    """
+
+    def kept(rows: DataFrame, one: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pickle.loads(one.value)
+            for batch in batches:
+                for part in sliced(batch, STEP_BYTES):
+                    clean = []
+                    for text in byte_texts(part, "text"):
+                        w, f = words(text), set()
+                        table.scan(w, np.zeros(len(w), dtype=bool), f)
+                        clean.append(not f)
+                    yield part.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    spark, blocks = docs.sparkSession, _blocks(benchmark, block_bytes)
+    items, following = next(blocks, []), next(blocks, None)
+    while following is not None:
+        one = _broadcast(spark, items, window)
+        docs = materialize(kept(docs, one), "clean")
+        one.destroy()
+        items, following = following, next(blocks, None)
+    return kept(docs, _broadcast(spark, items, window))

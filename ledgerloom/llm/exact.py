@@ -1,22 +1,27 @@
-"""Exact deduplication: salted aggregation of digests (operator 8, DataFrame functions only).
-
-It stands in for the dealt tree merge: runs are neither sorted nor merged in
-order. Every document joins one of `runs` runs by a hash. A round merges `fan` neighbouring
-runs: rows are first reduced where they lie (map-side), then each merged run is
-dealt over all partitions by digest, so no task ever holds a whole run or a
-whole group. A row of a run is (digest, length, second hash) with the largest,
-or smallest, identifier so far and the count; texts agree only if all three
-agree, at every level.
+"""Exact deduplication: tree merge of sorted digest runs (operator 8, DataFrame functions only).
+
+The rows of one partition are a run, sorted by digest and reduced to one row
+per digest where they lie. Runs are merged in binomial rounds: in a round, runs
+whose numbers differ in the round's bits alone are partners and send their rows
+to the one with those bits clear. Runs travel in digest ranges, so a task gets
+the same range of all partners, never a whole run, and merges them in digest
+order. What a merge retains of a digest is the row with the largest, or
+smallest, identifier and the count, and it counts rows as equal only if length
+and a second hash agree with the digest, at every level.
+
+In Spark's terms a merge is an exchange by (run, range) and a sort aggregate:
+the maximum of a struct is aggregated in sorted order, as the plan shows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, rejoin
 
-RUNS, FAN = 64, 8
+#: Bits of the run number that a round clears (two to this power are partners), rows of a run at about, hex digits of a range.
+ROUND_BITS, RUN_ROWS, RANGE_DIGITS = 3, 10_000, 4
 KEY = ["text_sha256", "n_bytes", "second"]
 
 
@@ -30,13 +35,24 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("second"))
 
 
-def merge_runs(rows: DataFrame, keep: str = "max", runs: int = RUNS, fan: int = FAN) -> DataFrame:
-    """Digest rows -> one row per distinct text with `best` (doc_id, row) and `group_size`, by log_fan(runs) rounds."""
+def merge_runs(rows: DataFrame, keep: str = "max", runs: int | None = None, bits: int = ROUND_BITS) -> DataFrame:
+    """Written digest rows -> one row per distinct text with `best` (doc_id, row) and `group_size`.
+
+    runs: a power of two; partitions are dealt to that many runs, by default as
+    many as there are RUN_ROWS rows. The first round merges while it reduces
+    each partition, so a digest leaves a partition once however often it occurs.
+    """
     best = {"max": F.max, "min": F.min}[keep]
-    now = rows.select(F.pmod(F.xxhash64("doc_id", "row"), F.lit(runs)).alias("run"), *KEY, F.struct("doc_id", "row").alias("best"), F.lit(1).cast("long").alias("n"))
-    while runs > 1:
-        runs = -(-runs // fan)
-        now = now.withColumn("run", F.expr(f"run div {fan}")).groupBy("run", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n"))
+    runs = runs or 1 << (rows.count() // RUN_ROWS).bit_length()
+    left = max(1, runs.bit_length() - 1)
+    run: Column = F.spark_partition_id().bitwiseAND(runs - 1)
+    now = rows.select(run.alias("run"), F.substring("text_sha256", 1, RANGE_DIGITS).alias("range"), *KEY, F.struct("doc_id", "row").alias("best"), F.lit(1).cast("long").alias("n"))
+    first = True
+    while left > 0:
+        # The partner with the lowest number: this round's bits cleared.
+        now, left = now.withColumn("run", F.shiftright("run", min(bits, left))), left - bits
+        now = now if first else now.repartition("run", "range")
+        now, first = now.groupBy("run", "range", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n")), False
     return now.select(*KEY, "best", F.col("n").alias("group_size"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,41 +27,68 @@ from .common import arrow_map
 #: Pages composed for fitting, passes over them, step and L2 weight.
 TRAIN_PAGES, EPOCHS, RATE, L2, SEED = 500, 12, 0.1, 1e-4, 7
 
-_TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*>", re.S)
+_TAG = r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*>"""
+_TOKEN, _TOKEN_NO_COMMENT = re.compile("<!--.*?-->|" + _TAG, re.S), re.compile(_TAG, re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|type)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-# HTML's void, raw-text and inline elements.
+# HTML's void elements, those whose content is no text of the page (forms' fields, scripts, styles, the head's title), and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template textarea noscript iframe svg math object title".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that close an open one of their own kind.
+RAW = frozenset("script style textarea title".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub".split())
+#: Elements that close an open one of their own kind, and those that such a search does not leave.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_HOLDS = frozenset(("ul", "ol", "dl", "table", "div", "section", "article", "body"))
+
+
+class Place:
+    """The open elements around a block. A place shares the sets of the one outside it unless its element adds to them."""
+
+    __slots__ = ("tags", "marks", "leaf", "hidden", "_names")
+
+    def __init__(self, tags: frozenset = frozenset(), marks: frozenset = frozenset(), leaf: str = "", hidden: bool = False, names: tuple[str, ...] | None = None):
+        self.tags, self.marks, self.leaf, self.hidden, self._names = tags, marks, leaf, hidden, names
+
+    def inside(self, tag: str, marks: list[str], hidden: bool) -> Place:
+        """The place within a further element; inline elements without class words leave no trace but being hidden."""
+        if tag in INLINE and not marks:
+            return self if self.hidden or not hidden else Place(self.tags, self.marks, self.leaf, True, self._names)
+        tags = self.tags if tag in self.tags else self.tags | {tag}
+        own = self.marks if self.marks.issuperset(marks) else self.marks.union(marks)
+        return Place(tags, own, tag, self.hidden or hidden, self._names if tags is self.tags and own is self.marks else None)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        if self._names is None:
+            self._names = (*("in:" + t for t in sorted(self.tags)), *("mark:" + m for m in sorted(self.marks)))
+        return self._names
 
 
 @dataclass
 class Block:
     text: str
-    ancestors: tuple[tuple[str, frozenset[str]], ...]
+    place: Place
     linked: int = 0
-    hidden: bool = False
 
 
 @dataclass
 class _Open:
     tag: str
-    marks: frozenset[str]
-    hidden: bool = False
+    place: Place
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order; raw-text elements and comments hold no text.
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order; RAW elements and comments hold no text.
 
     Unclosed elements end with an enclosing one; stray end tags are ignored, and
-    a `<` that opens no tag is text.
+    a `<` that opens no tag is text. known: feature names besides which elements
+    and class words need not be told apart, so that what a block carries is
+    bounded however deep it lies.
     """
     out: list[Block] = []
     stack: list[_Open] = []
+    opened: Counter = Counter()
+    here = Place()
     parts: list[str] = []
     linked = 0
 
@@ -69,7 +97,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple((o.tag, o.marks) for o in stack if o.tag not in INLINE or o.marks), linked, any(o.hidden for o in stack)))
+                out.append(Block(text, here, linked))
             parts.clear()
         linked = 0
 
@@ -78,12 +106,20 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw)
             parts.append(text)
-            if any(o.tag == "a" for o in stack):
+            if opened["a"]:
                 linked += len(text)
 
-    at, n = 0, len(page)
+    def close(k: int) -> None:
+        """Close the k-th open element and those within."""
+        nonlocal here
+        for o in stack[k:]:
+            opened[o.tag] -= 1
+        del stack[k:]
+        here = stack[-1].place if stack else Place()
+
+    at, n, last_comment, last_tag = 0, len(page), page.rfind("-->"), page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last_comment else _TOKEN_NO_COMMENT).search(page, at) if at <= last_tag else None
         if not m:
             say(page[at:])
             break
@@ -95,10 +131,8 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
@@ -106,12 +140,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in SIBLINGS:
+            if any(opened[t] for t in SIBLINGS.get(tag, ())):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].tag in SIBLINGS[tag]:
-                        del stack[k:]
+                        close(k)
                         break
-                    if stack[k].tag in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
+                    if stack[k].tag in _HOLDS:
                         break
         if tag not in VOID and not m[3].endswith("/"):
             marks, hidden = [], False
@@ -120,13 +154,21 @@ def blocks(page: str) -> list[Block]:
                 if name in ("class", "id", "role"):
                     marks += _WORD.findall(value)
                 hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-            stack.append(_Open(tag, frozenset(marks), hidden))
+            if known is not None:
+                marks = [x for x in marks if "mark:" + x in known]
+            here = here.inside(tag if known is None or "in:" + tag in known or "leaf:" + tag in known else "?", marks, hidden)
+            opened[tag] += 1
+            stack.append(_Open(tag, here))
     flush()
     return out
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    """Feature names of every block."""
+    """Feature names of every block: its text's, then its place's."""
+    return [[*own, *b.place.names, *(["leaf:" + b.place.leaf] if b.place.leaf else [])] for b, own in zip(page, text_features(page))]
+
+
+def text_features(page: list[Block]) -> list[list[str]]:
     out, n = [], len(page)
     for k, b in enumerate(page):
         size = len(b.text)
@@ -134,22 +176,17 @@ def features(page: list[Block]) -> list[list[str]]:
         f = ["bias", f"len{min(7, size.bit_length() - 1)}" if size < 256 else "len8", f"words{min(6, words.bit_length())}"]
         share = b.linked / size
         f.append("link" + ("0" if share == 0 else "1" if share < 0.34 else "2" if share < 0.8 else "3"))
-        f += ["end." if b.text[-1] in ".!?…\"'”)" else "end-", "first"] if k == 0 else ["end." if b.text[-1] in ".!?…\"'”)" else "end-"]
+        f.append("end." if b.text[-1] in ".!?…\"'”)" else "end-")
+        if k == 0:
+            f.append("first")
         if k == n - 1:
             f.append("last")
         if re.search("©|copyright|all rights reserved", b.text[:200], re.I):
             f.append("copyright")
         if "|" in b.text or "·" in b.text or "›" in b.text:
             f.append("divider")
-        if b.hidden:
+        if b.place.hidden:
             f.append("hidden")
-        tags, marks = set(), set()
-        for tag, own in b.ancestors:
-            tags.add(tag)
-            marks |= own
-        f += ["in:" + t for t in sorted(tags)] + ["mark:" + m for m in sorted(marks)]
-        if b.ancestors:
-            f.append("leaf:" + b.ancestors[-1][0])
         out.append(f)
     return out
 
@@ -161,17 +198,27 @@ class Crf:
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
     steps: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
+    def __post_init__(self):
+        self.known = frozenset(self.weights)
+
     def scores(self, page: list[Block]) -> list[tuple[float, float]]:
-        get = self.weights.get
-        out = []
-        for f in features(page):
+        """Per block the weights of its features by label; those of a place are added up once."""
+        get, places, out = self.weights.get, {}, []
+
+        def total(names) -> tuple[float, float]:
             a = b = 0.0
-            for name in f:
-                w = get(name)
-                if w:
+            for name in names:
+                if w := get(name):
                     a += w[0]
                     b += w[1]
-            out.append((a, b))
+            return a, b
+
+        for b, own in zip(page, text_features(page)):
+            key = id(b.place)
+            if key not in places:
+                places[key] = total([*b.place.names, "leaf:" + b.place.leaf])
+            x, y = places[key], total(own)
+            out.append((x[0] + y[0], x[1] + y[1]))
         return out
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -314,7 +361,8 @@ TEXTS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url
 
 
 def main_text(page: str, model: Crf) -> tuple[str, int]:
-    found = blocks(page)
+    """The main blocks' text, and how many blocks the page has."""
+    found = blocks(page, model.known)
     return " ".join(b.text for b, y in zip(found, model.decode(found)) if y), len(found)
 
 

@@ -33,7 +33,7 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"), least=paragraphs.LEAST)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.judge(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return urlrules.judge(pages, mined=urlrules.mine(urlrules.rule_labels(pages).where("not held_out")))
 
 
 def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ For other urls, Spark's FP-growth mines token combinations of labelled urls;
 combinations that imply the label `block` with enough confidence, support and
 lift, and no smaller combination already kept among their subsets, become
 rules. They are matched by an inverted index: url tokens join rule tokens, and
-a rule fits when as many tokens met as it has.
+a rule fits when as many tokens met as it has. The labels are those that the
+given rules put on the urls they fit (`rule_labels`), or any table of labelled
+urls; a part of them is held out to measure what the mined rules are worth.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize, rejoin
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Share of labelled urls that hold a combination, confidence and lift it must reach, tokens it may have.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.01, 0.9, 1.2, 3
-#: Mined rules kept at most, by confidence, support and name; labelled urls used at most (a hash of the url decides).
-MAX_RULES, MAX_LABELLED = 5_000, 200_000
-
-# Words of hosts that labelled examples block or allow.
+#: Share of labelled urls that hold a combination, confidence and lift it must reach.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.9, 1.2
+#: Different labelled urls used for mining at most (a hash of the url decides), and one in HELD_OUT of all that is kept from mining.
+MAX_LABELLED, HELD_OUT = 200_000, 5
+#: Rows of rules up to which they are broadcast.
+BROADCAST_ROWS = 50_000
+
+# Words of hosts that the example urls block or allow.
 BLOCK_WORDS = [("casino", "win"), ("free", "bets"), ("adult", "x"), ("cheap", "pills"), ("ads", "track"), ("spam", "farm")]
 ALLOW_WORDS = [("city", "library"), ("free", "encyclopedia"), ("open", "courses"), ("daily", "news"), ("garden", "track"), ("family", "farm"), ("cheap", "flights"), ("chess", "win")]
 
@@ -48,24 +52,53 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def seed_labels(spark: SparkSession) -> DataFrame:
-    """Labelled example urls (url, label): the word pairs above over usual domains and languages."""
+    """Labelled example urls (url, label) for want of better ones: the word pairs above over usual domains and languages."""
     rows = [(f"https://{sub}{a}-{b}.example.{tld}/{lang}/", label) for words, label in ((BLOCK_WORDS, "block"), (ALLOW_WORDS, "allow")) for a, b in words for sub in ("", "www.", "m.", "blog.") for tld in ("com", "net", "org") for lang in ("en", "de", "fr", "es")]
     return spark.createDataFrame(rows, "url string, label string")
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """`rows` to be broadcast if they are few enough, else left to the planner."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Different urls of rows with a column url, with host and path."""
+    return rows.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+
+
+def _given(parsed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(url, host, path) -> (url, best: size, rule, verdict) of urls that a given rule fits."""
+    table = parsed.sparkSession.createDataFrame([(h, p, v, h + p) for h, p, v in rules], "rule_host string, rule_path string, verdict string, rule string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = parsed.select("url", "path", F.explode(suffixes).alias("rule_host")).join(_few(table, len(rules)), "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    return fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+
+
+def rule_labels(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """Different urls of `pages` that a given rule fits, labelled with its verdict: (url, label, held_out).
+
+    A hash of the url holds out one in HELD_OUT; null urls have no label.
+    """
+    found = _given(_parsed(pages.where("url is not null")), rules)
+    return found.select("url", F.col("best.verdict").alias("label"), (F.pmod(F.xxhash64(F.lit(60), "url"), F.lit(HELD_OUT)) == 0).alias("held_out"))
+
+
 def mine(labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Labelled urls (url, label) -> rules (rule_id, token, size, confidence, support): one row per rule and token.
 
-    Rows with a null url or label are ignored; repeated rows count as often as they occur.
+    Rows with a null url or label are ignored; repeated rows count once. Where
+    all labels are alike, or there are none, there are no rules.
     """
-    rows = labels.where("url is not null and label is not null")
+    rows = labels.where("url is not null and label is not null").select("url", "label").distinct()
     n = rows.count()
     if n > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(6), "url"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
     baskets = rows.select(F.array_append(tokens(host_of(F.col("url")), path_of(F.col("url"))), F.concat(F.lit("y:"), "label")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = found.where((F.col("consequent")[0] == "y:block") & (F.col("lift") >= min_lift) & (F.size("antecedent") <= MAX_TOKENS) & ~F.exists("antecedent", lambda x: x.startswith("y:")))
-    rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "items").limit(MAX_RULES), "mined")
+    rules = found.where((F.col("consequent")[0] == "y:block") & (F.col("lift") >= min_lift) & ~F.exists("antecedent", lambda x: x.startswith("y:")))
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "mined")
     small = rules.select(F.col("items").alias("sub"), F.explode("items").alias("t"), F.size("items").alias("k"))
     wide = rules.select("items", F.explode("items").alias("t"))
     covered = wide.join(small, "t").where(F.col("k") < F.size("items")).groupBy("items", "sub", "k").count().where("count = k").select("items").distinct()
@@ -73,6 +106,21 @@ def mine(labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: fl
     return kept.select(F.array_join("items", "+").alias("rule_id"), F.explode("items").alias("token"), F.size("items").alias("size"), "confidence", "support")
 
 
+def _mined(parsed: DataFrame, mined: DataFrame) -> DataFrame:
+    """(url, host, path) and written mined rules -> (url, rule_id, confidence), a row per rule that fits, by the inverted index."""
+    index = parsed.select("url", F.explode(tokens(F.col("host"), F.col("path"))).alias("token")).join(_few(mined, mined.count()), "token")
+    return index.groupBy("url", "rule_id", "size", "confidence").agg(F.count("*").alias("n")).where("n = size").select("url", "rule_id", "confidence")
+
+
+def worth(labels: DataFrame, mined: DataFrame) -> DataFrame:
+    """Held-out labelled urls (url, label) and mined rules -> per rule its support and confidence there: rule_id, support, confidence, n_urls."""
+    held = materialize(labels.where("url is not null and label is not null").select("url", "label").distinct(), "held-out")
+    n = max(1, held.count())
+    fits = _mined(_parsed(held), materialize(mined, "rules")).withColumnRenamed("url", "__url").join(held, F.col("__url") == F.col("url"))
+    right = F.sum((F.col("label") == "block").cast("long"))
+    return fits.groupBy("rule_id").agg((right / n).alias("support"), (right / F.count("*")).alias("confidence"), F.count("*").alias("n_urls"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mined: DataFrame | None = None) -> DataFrame:
     """One row per row of `pages`: page_id, host, path, rule, verdict, mined_rule, confidence.
 
@@ -81,21 +129,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mined: Da
     and `allow` otherwise. A null url has an empty host and path. Repeated rows
     are judged each; extra columns are ignored.
     """
-    spark = pages.sparkSession
-    mined = materialize(mine(seed_labels(spark)) if mined is None else mined, "rules")
-    url = F.coalesce(F.col("url"), F.lit(""))
-    rows = pages.select("page_id", url.alias("url"))
-    parsed = materialize(rows.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
-
-    given = spark.createDataFrame([(h, p, v, h + p) for h, p, v in rules], "rule_host string, rule_path string, verdict string, rule string")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    fits = parsed.select("url", "path", F.explode(suffixes).alias("rule_host")).join(given, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
-
-    index = parsed.select("url", F.explode(tokens(F.col("host"), F.col("path"))).alias("token")).join(mined, "token")
-    met = index.groupBy("url", "rule_id", "size", "confidence").agg(F.count("*").alias("n")).where("n = size")
-    top = met.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rule_id")).alias("top"))
+    mined = materialize(mine(seed_labels(pages.sparkSession)) if mined is None else mined, "rules")
+    rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"))
+    parsed = materialize(_parsed(rows), "urls")
+    best = _given(parsed, rules)
+    top = _mined(parsed, mined).groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rule_id")).alias("top"))
 
     verdicts = parsed.join(best, "url", "left").join(top, "url", "left")
     by_url = verdicts.select(
