@@ -11,6 +11,7 @@ words still in use survive.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -34,7 +35,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, and ASCII signs other than the apostrophe.
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 _LEAD = f"^[\n{_FIRST}]?"
-_WORD = re.compile(" ?" + _LETTERS)
+_NO_LETTERS = "\n" + _FIRST + "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def _bytes_as_letters() -> str:
@@ -92,7 +93,7 @@ class Encoder:
         lists = pc.split_pattern(even, " ")
         coded = lists.flatten().dictionary_encode()
         codes, sizes = coded.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-        atoms, cut, cut_sizes = self._cut(coded.dictionary)
+        atoms, n_words, cut, cut_sizes = self._cut(coded.dictionary)
         if odd:
             at = {a: k for k, a in enumerate(atoms)}
             more = [[at.setdefault(a, len(at)) for a in self._odd(texts[k].as_py())] for k in odd]
@@ -101,7 +102,7 @@ class Encoder:
             codes[(np.cumsum(sizes) - 1)[odd]] = len(cut_sizes) + np.arange(len(odd))
             atoms, cut = list(at), np.concatenate([cut, *(np.array(x, dtype=np.int64) for x in more)])
             cut_sizes = np.concatenate([cut_sizes, [len(x) for x in more]])
-        values = self._values(atoms)
+        values = self._values(atoms, n_words)
         flat = np.frombuffer(b"".join(values), dtype=self.kind)
         length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.kind.itemsize
         for at, n in ((cut, cut_sizes), (codes, sizes)):
@@ -109,12 +110,13 @@ class Encoder:
             length = np.diff(begins)
         return flat, begins
 
-    def _cut(self, pieces: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct pieces -> (atoms, numbers of atoms end to end, atoms per piece)."""
+    def _cut(self, pieces: pa.Array) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+        """Distinct pieces -> (atoms, how many of them from the second on are words, numbers of atoms end to end, atoms per piece)."""
         plain = pc.match_substring_regex(pieces, _LEAD + _LETTERS + _SIGNS + "$").to_numpy(zero_copy_only=False)
         simple = pieces.filter(pa.array(plain))
-        core = pc.replace_substring_regex(simple, f"{_LEAD}|{_SIGNS}$", "")
-        tail = pc.replace_substring_regex(simple, _LEAD + _LETTERS, "").dictionary_encode()
+        core = pc.ascii_trim(simple, characters=_NO_LETTERS)
+        signed = np.flatnonzero(pc.match_substring_regex(simple, "[^A-Za-zÀ-ÿ]$").to_numpy(zero_copy_only=False))
+        tail = pc.replace_substring_regex(simple.take(pa.array(signed)), _LEAD + _LETTERS, "").dictionary_encode()
         parts = np.full((len(pieces), 3), -1, dtype=np.int64)
         atoms = ["\n"]
         if self.spaced:
@@ -125,14 +127,13 @@ class Encoder:
         core = core.dictionary_encode()
         parts[plain, 1] = core.indices.to_numpy(zero_copy_only=False) + len(atoms)
         atoms += core.dictionary.to_numpy(zero_copy_only=False).tolist()
-        tails = tail.dictionary.to_numpy(zero_copy_only=False).tolist()
-        number = tail.indices.to_numpy(zero_copy_only=False)
-        parts[plain, 2] = np.where(np.array([bool(t) for t in tails], dtype=bool)[number], number + len(atoms), -1) if tails else -1
-        atoms += tails
+        n_words = len(atoms) - 1
+        parts[np.flatnonzero(plain)[signed], 2] = tail.indices.to_numpy(zero_copy_only=False) + len(atoms)
+        atoms += tail.dictionary.to_numpy(zero_copy_only=False).tolist()
         rest = np.flatnonzero(~plain)
         sizes, flat = (parts >= 0).sum(axis=1), parts[parts >= 0]
         if not len(rest):
-            return atoms, flat, sizes
+            return atoms, n_words, flat, sizes
         # Other pieces are cut here; their atoms follow, and are then put in their places.
         at = {a: k for k, a in enumerate(atoms)}
         more = [[at.setdefault(a, len(at)) for a in self._atoms(p)] for p in pieces.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()]
@@ -140,7 +141,7 @@ class Encoder:
         out = np.empty(int(sizes.sum()), dtype=np.int64)
         other = np.repeat(~plain, sizes)
         out[~other], out[other] = flat, [k for x in more for k in x]
-        return list(at), out, sizes
+        return list(at), n_words, out, sizes
 
     def _odd(self, text: str) -> list[str]:
         """Atoms of any text."""
@@ -164,41 +165,43 @@ class Encoder:
             return [y for k, x in enumerate(lines) for y in (["\n"] * (k > 0) + [x])]
         return [piece]
 
-    def _values(self, atoms: list[str]) -> list[bytes]:
-        """ids of atoms, from the cache or the library."""
+    def _values(self, atoms: list[str], n_words: int) -> list[bytes]:
+        """ids of distinct atoms, from the cache or the library; n_words: see _cut."""
         young, old = self.young, self.old
         out = list(map(young.get, atoms))
-        if None in out:
-            gaps = [k for k, v in enumerate(out) if v is None]
-            wanted = [atoms[k] for k in gaps]
-            found = list(map(old.get, wanted))
-            made = self._fresh(list(dict.fromkeys(a for a, v in zip(wanted, found) if v is None)))
-            for k, a, v in zip(gaps, wanted, found):
-                out[k] = v = made[a] if v is None else v
-                if len(a) <= CACHE_CHARS:
-                    young[a] = v
-            if len(young) > GENERATION:
-                self.old, self.young = young, {}
+        words: list[int] = []
+        others: list[int] = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            a = atoms[k]
+            if (v := old.get(a)) is not None:
+                out[k] = young[a] = v
+            elif 0 < k <= n_words and (a[0] == " ") == self.spaced:
+                words.append(k)
+            else:
+                others.append(k)
+        for k, e in zip(others, self.tok.encode_batch_fast([atoms[k] for k in others], add_special_tokens=False)):
+            out[k] = np.array(e.ids, dtype=self.kind).tobytes()
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            for n, v in zip(some, self._words([atoms[n] for n in some])):
+                out[n] = v
+        for k in itertools.chain(words, others):
+            if len(atoms[k]) <= CACHE_CHARS:
+                young[atoms[k]] = out[k]
+        if len(young) > GENERATION:
+            self.old, self.young = young, {}
         return out
 
-    def _fresh(self, new: list[str]) -> dict[str, bytes]:
-        """ids of texts that the cache lacks; words of Latin letters go through together and are told apart by their edge tokens."""
-        word = _WORD.fullmatch
-        plain = [x for x in new if word(x) and (x[0] == " ") == self.spaced]
-        done = set(plain) if len(plain) < len(new) else ()
-        rest = [x for x in new if x not in done] if done or not plain else []
-        out = {x: np.array(e.ids, dtype=self.kind).tobytes() for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False))}
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            text = "\n".join(some) if self.spaced else "\n".join(some).lower()
-            ids = np.array(self.direct.encode_batch_fast([charmap_decode(text.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, dtype=self.kind)
-            edges = np.flatnonzero(self.edge[ids])
-            at = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
-            if len(at) != len(some) + 1:
-                raise RuntimeError("words and edge tokens differ in number")
-            data, size = ids.tobytes(), self.kind.itemsize
-            out.update({x: data[size * a : size * b] for x, a, b in zip(some, at, at[1:])})
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of words of Latin letters, encoded together and told apart by their edge tokens."""
+        text = "\n".join(words) if self.spaced else "\n".join(words).lower()
+        ids = np.array(self.direct.encode_batch_fast([charmap_decode(text.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, dtype=self.kind)
+        edges = np.flatnonzero(self.edge[ids]) * self.kind.itemsize
+        data, size = ids.tobytes(), self.kind.itemsize
+        at = [*edges.tolist(), len(data)] if self.spaced else [0, *(edges + size).tolist()]
+        if len(at) != len(words) + 1:
+            raise RuntimeError("words and edge tokens differ in number")
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 def _gather(flat: np.ndarray, length: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
