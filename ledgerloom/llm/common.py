@@ -35,15 +35,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Remove tables that `materialize` returned and nothing reads any more, and let Spark drop shuffle files that nothing refers to."""
+def release(*tables: DataFrame, sweep: bool = True) -> None:
+    """Remove tables that `materialize` returned and nothing reads any more; `sweep` lets Spark drop shuffle files that nothing refers to."""
     spark = tables[0].sparkSession
     jvm = spark.sparkContext._jvm
     for path in filter(None, (t.__dict__.pop("_written_to", None) for t in tables)):
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    jvm.System.gc()
+    if sweep:
+        gc.collect()
+        jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -62,7 +63,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
             for part in sliced(batch):
                 out = fn(part)
                 for cols in [out] if isinstance(out, dict) else out or ():
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rejoin
+from .common import materialize, rejoin, release
 
 #: Rounds after which an unconverged run is reported as an error rather than returned.
 MAX_ROUNDS = 40
@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):
-        now = materialize(_stars(_stars(now, True), False), "edges")
+        before, now = now, materialize(_stars(_stars(now, True), False), "edges")
+        release(before, sweep=False)
         new = _mark(now)
         if new == mark:
             break

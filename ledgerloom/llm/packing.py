@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
         enc = encoder(tokenizer, spaced=False)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in sliced(batch, 2 * STEP_BYTES):
+            for part in sliced(batch, 3 * STEP_BYTES):
                 cols: dict[str, list] = {f.name: [] for f in arrow}
                 ids, begins = enc.encode_arrow(part.column(2))
                 ids, at = ids.astype("<u4").tobytes(), (4 * begins).tolist()

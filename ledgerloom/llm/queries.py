@@ -33,7 +33,7 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"), least=paragraphs.LEAST)
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"), least=paragraphs.LEAST, every=False)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays([pa.array([pack_shard((part << 32) | seq, ids, texts)], pa.binary())], names=["value"])
 
         for batch in batches:
-            for piece in sliced(batch, 2 * STEP_BYTES):
+            for piece in sliced(batch, 3 * STEP_BYTES):
                 data, begins = enc.encode_arrow(piece.column(1))
                 at = begins.tolist()
                 for doc, a, b in zip(piece.column(0).to_pylist(), at, at[1:]):

@@ -4,7 +4,10 @@ At most `bits` differing bits over `segments` > bits / 2 segments leave one
 segment with at most one differing bit. So each segment is indexed under all
 its one-wildcard variants (the segment without one bit, and which bit), and two
 segments at distance one or less share a variant. Equality of variants is an
-equi-join; the full distance is checked inside it.
+equi-join; the full distance is checked inside it. Where fingerprints are so
+many that chance alone fills the variants of one segment, text is cut into more
+segments and `together` of them make a longer one: of bits * together / 2 + 1
+segments, some `together` hold at most one differing bit between them.
 
 Dense groups are handled without their pairs: first every bucket links its
 members to one member chosen by hash (linear in the bucket), those links are
@@ -15,7 +18,7 @@ so components are exact.
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, byte_texts, materialize, rejoin
+from .common import arrow_map, byte_texts, materialize, rejoin, release
 from .graph import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -67,19 +70,39 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), step, FP_SCHEMA)
 
 
-def segments_for(bits: int) -> list[tuple[int, int]]:
-    """(offset, width) of the fewest segments of which one has at most one differing bit."""
-    n = bits // 2 + 1
+def segments_for(bits: int, together: int = 1) -> list[tuple[int, int]]:
+    """(offset, width) of the fewest segments of which some `together` have at most one differing bit between them."""
+    n = bits * together // 2 + 1
     edges = [64 * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def variants(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows of (fp, node, ...) -> one row per segment and wildcard place, with the variant's `key`."""
-    keys = []
-    for off, width in segments_for(bits):
-        seg = f"(shiftrightunsigned(fp, {off}) & {(1 << width) - 1}L)"
-        keys += [f"shiftleft(shiftleft(shiftright({seg}, {p + 1}), {p}) | ({seg} & {(1 << p) - 1}L), 6) | {off + p}L" for p in range(width)]
+#: Fingerprints per value of the shortest key at most; beyond it more segments are taken together.
+CROWD = 16
+
+
+def together_for(n: int, bits: int) -> int:
+    """How many segments make a key, for n different fingerprints; links are the same for any number."""
+    together = 1
+    while together < 6 and n > CROWD << min(sum(sorted(w for _, w in segments_for(bits, together))[:together]), 60):
+        together += 1
+    return together
+
+
+def variants(nodes: DataFrame, bits: int = BITS, together: int = 1) -> DataFrame:
+    """Rows of (fp, node, ...) -> one row per choice of segments and wildcard place, with the variant's `key`."""
+    keys, segments = [], segments_for(bits, together)
+    if together == 1:
+        for off, width in segments:
+            seg = f"(shiftrightunsigned(fp, {off}) & {(1 << width) - 1}L)"
+            keys += [f"shiftleft(shiftleft(shiftright({seg}, {p + 1}), {p}) | ({seg} & {(1 << p) - 1}L), 6) | {off + p}L" for p in range(width)]
+    for tag, chosen in enumerate(combinations(segments, together) if together > 1 else ()):
+        places = [off + p for off, width in chosen for p in range(width)]
+        whole = sum(1 << p for p in places)
+        for p in places:
+            mask = whole & ~(1 << p)
+            # A hash of masked bits, choice and wildcard; what meets by chance is verified like all else.
+            keys.append(f"xxhash64(fp & {mask - (1 << 64) if mask >> 63 else mask}L, {tag << 6 | p})")
     return nodes.select("*", F.explode(F.array(*[F.expr(k) for k in keys])).alias("key"))
 
 
@@ -97,21 +120,28 @@ def _hopeful(bits: int):
     return F.expr(f"n > 2 or bit_count(differ) <= {bits}")
 
 
-def link_components(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Distinct fingerprints (fp) -> (fp, component), the smallest fingerprint reachable, itself included."""
-    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() // NODES_PER_TASK + 1)
-    index = variants(nodes.select("fp").repartition(parts, "fp"), bits)
+def link_components(nodes: DataFrame, bits: int = BITS, together: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, component), the smallest fingerprint reachable, itself included.
+
+    together: segments of a key, by default as `together_for` has it. Nulls are
+    no fingerprints; an empty table gives no rows.
+    """
+    n = nodes.count()
+    together = together or together_for(n, bits)
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, n // NODES_PER_TASK + 1)
+    index = variants(nodes.select("fp").repartition(parts, "fp"), bits, together)
     leaders = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp")).alias("lead"), *_spread()).where("n > 1").where(_hopeful(bits))
     star = rejoin(index, leaders, ["key"], "inner").where(F.expr("fp != lead.fp")).where(_near("fp", "lead.fp", bits))
     first = components(star.select(F.col("fp").alias("a"), F.col("lead.fp").alias("b")))
     placed = nodes.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
-    rows = materialize(variants(placed.repartition(parts, "fp"), bits), "variants")
+    rows = materialize(variants(placed.repartition(parts, "fp"), bits, together), "variants")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_spread()).where("lo != hi").where(_hopeful(bits)).select("key")
     rest = materialize(rejoin(rows, mixed, ["key"], "inner"), "mixed")
     x = rest.select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("a"))
     y = rest.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("comp").alias("b"))
     cross = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _near("fp_a", "fp_b", bits)).select("a", "b").distinct()
     second = components(cross)
+    release(rows, rest)
     joined = placed.join(second, F.col("comp") == F.col("node"), "left")
     return joined.select("fp", F.coalesce("component", "comp").alias("component"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Atoms in a generation of the cache; there are two.
-GENERATION = 150_000
+GENERATION = 250_000
 #: Longer atoms are encoded but not kept.
 CACHE_CHARS = 64
 #: Words that go through the library as one text.

@@ -34,8 +34,6 @@ L1, STEPS = 1e-4, 1500
 #: A document is rejected when P(grade >= 1) reaches this.
 REJECT = 0.3
 GRADES = 3
-#: Words whose features a worker remembers.
-KNOWN_WORDS = 100_000
 #: Characters of the beginnings, and the cap of the share, in percent of the words.
 STEM, MAX_SHARE = (4, 8), 3.0
 
@@ -69,20 +67,23 @@ class OrdinalModel:
     thresholds: list[float] = field(default_factory=lambda: [30.0, 31.0])
 
     def __post_init__(self):
-        self._stems: dict[bytes, tuple[bytes, ...]] = {}
+        #: Where a beginning that counts may start; few words share one.
+        self._heads = {f[:-1].decode("utf-8", "replace")[: STEM[0]] for f in self.weights if f.endswith(b"*")}
+
+    def _hits(self, word: bytes) -> list[bytes]:
+        """The features of a word that have weights."""
+        out = [word] if word in self.weights else []
+        if len(word) > STEM[0] and (chars := word.decode("utf-8", "replace"))[: STEM[0]] in self._heads:
+            stems = (chars[:k].encode() + b"*" for k in range(STEM[0], min(STEM[1], len(chars) - 1) + 1))
+            out += [f for f in stems if f in self.weights]
+        return out
 
     def score(self, text: bytes) -> float:
-        """w.x; which features a word has is remembered, so a text costs a lookup per distinct word."""
+        """w.x, at a look-up or two per distinct word."""
         counts = Counter(ws := words(text))
         found: Counter = Counter()
-        known = self._stems
         for w, n in counts.items():
-            hit = known.get(w)
-            if hit is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                hit = known[w] = tuple(f for f in features(w)[0] if f in self.weights)
-            for f in hit:
+            for f in self._hits(w):
                 found[f] += n
         total = 0.0
         for f, n in sorted(found.items()):
@@ -167,7 +168,10 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
     """Fit on labelled documents: at most about `max_labelled` rows and MAX_WORDS words reach the driver.
 
-    Without labels of both kinds the model accepts everything.
+    A document's grade is the worst of its labels; null ids and labels are
+    ignored; a doc_id that occurs several times counts with each of its texts
+    unless they are near copies. Without labels of both kinds, or words that
+    tell them apart, the model accepts everything. Ties among words go by name.
     """
     sample = materialize(_sample(docs, labels, max_labelled), "sample")
     n, pos = sample.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
@@ -194,7 +198,8 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sev
 def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """One row per document row: expected severity, P(grade >= 1), likeliest grade (the lower on ties), verdict.
 
-    Null and empty texts score zero words. Extra columns are ignored.
+    Null and empty texts score zero words. Repeated rows and ids are scored
+    each; extra columns are ignored; an empty table gives no rows.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -206,7 +211,7 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
-    """`docs` without rejected rows, all columns as they were, in one pass and without a shuffle."""
+    """`docs` without rejected rows, all columns as they were, in one pass and without a shuffle; of repeated rows all stay or go, null texts stay unless the model rejects no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

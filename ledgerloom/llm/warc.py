@@ -289,8 +289,15 @@ def _int(text: str | None) -> int | None:
 
 
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
-    """Write `pages` to archives in the shared folder and return what the salvage reader recovers."""
+    """Write `pages` to archives in the shared folder and return what the salvage reader recovers.
+
+    Raises if the reader has not found as many records as there are pages.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    return read_archives(spark, path, payloads)
+    found = materialize(read_archives(spark, path, payloads), "records")
+    n, wanted = found.where("record_type is not null").count(), pages.count()
+    if n != wanted:
+        raise RuntimeError(f"{wanted} records were written, {n} recovered")
+    return found
