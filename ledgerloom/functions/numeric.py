@@ -50,8 +50,8 @@ def normalize_number(c: Column) -> Column:
 
 
 def clean_numeric(c: Column) -> Column:
-    """what is neither digit, sign nor point goes, at both ends only."""
-    return F.regexp_replace(F.regexp_replace(c, r"^[^0-9.\-]+", ""), r"[^0-9.]+$", "")
+    """at the front all but digits, sign, point, comma and opening bracket goes, at the end all but digits, point, comma and percent; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"^[^0-9.\-,(]+", ""), r"[^0-9.,%]+$", "")
 
 
 def fraction_to_percent(c: Column) -> Column:

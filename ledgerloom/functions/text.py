@@ -70,15 +70,28 @@ def highlight(c: Column, terms: list[str]) -> Column:
     return F.regexp_replace(c, f"(?i)({pattern})", "<mark>$1</mark>") if pattern else c
 
 
+#: Letters that a misread code has for digits: always, and only in codes of one of these lengths.
+CODE_DIGITS, SHORT_CODE_DIGITS, SHORT_CODES, CODES = ("OoIl|", "00111"), ("ZzSsB", "22558"), (4, 5, 8), (4, 5, 6, 7, 8)
+
+
 def item_code(code: Column, description: Column) -> Column:
-    """(code, description): a missing code is taken from the description's head or tag; digits misread as letters are repaired in codes of at least five characters."""
-    given = F.trim(F.coalesce(code, F.lit("")))
-    tagged = F.regexp_extract(description, r"(?i)\b(?:code|item|sku)\s*[:#]\s*([A-Za-z0-9\-]{4,})", 1)
-    lead = F.regexp_extract(description, r"^([A-Z0-9][A-Z0-9\-]*\d[A-Z0-9\-]{3,})\s+\S", 1)
-    found = F.coalesce(F.when(given != "", given), F.when(tagged != "", tagged), F.when(lead != "", lead), F.lit(""))
-    repaired = F.when((F.length(found) >= 5) & found.rlike(r"^[0-9OIZSB\-]+$"), F.translate(found, "OIZSB", "01258")).otherwise(found)
-    rest = F.when((given == "") & (tagged == "") & (lead != ""), F.trim(F.substring(description, F.length(lead) + 1, F.length(description)))).otherwise(description)
-    return F.struct(repaired.alias("code"), rest.alias("description"))
+    """(code, description).
+
+    Without a code of two characters, the description's first word of 3 to 10
+    is the code if it has a digit or one of the usual lengths, and leaves the
+    description; a code named inside the description stays there. Codes of 4 to
+    8 characters with a digit are upper-cased, their misread letters repaired.
+    """
+    given, desc = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(description, F.lit("")))
+    head = r"^([A-Za-z0-9\-/]{3,10})\s+[\-:]?\s*(.+)$"
+    lead = F.regexp_extract(desc, head, 1)
+    takes = (F.length(given) <= 1) & (lead != "") & (lead.rlike(r"\d") | F.length(lead).isin(4, 5, 6, 8))
+    tagged = F.regexp_extract(desc, r"(?i)(?:CPT|Code|HSN|Part\s*#?|Cat\s*#?)\s*[:\-\s]\s*([A-Za-z0-9\-]{3,10})", 1)
+    found = F.when(takes, lead).when(given != "", given).otherwise(tagged)
+    size = F.length(found)
+    repaired = F.translate(found, *CODE_DIGITS)
+    repaired = F.upper(F.when(size.isin(*SHORT_CODES), F.translate(repaired, *SHORT_CODE_DIGITS)).otherwise(repaired))
+    return F.struct(F.when(size.isin(*CODES) & found.rlike(r"\d"), repaired).otherwise(found).alias("code"), F.when(takes, F.trim(F.regexp_extract(desc, head, 2))).otherwise(desc).alias("description"))
 
 
 def json_in_text(c: Column) -> Column:
@@ -87,6 +100,46 @@ def json_in_text(c: Column) -> Column:
     return F.when(body != "", body)
 
 
+#: Names under which a reply may list its lines, in order; the fourth only beside a flat header.
+LINE_KEYS = ["line_items", "items", "products", "table_items", "lines"]
+
+
+def reply(c: Column) -> Column:
+    """(header, line_items) of a language model's reply; null if it holds no JSON object with lines.
+
+    The reply without code fences is read as JSON, else its outermost braces; of
+    a list the first object counts. The header stands under `header` beside the
+    lines, or is all that stands beside them. Header values and the values of
+    lines are texts; lines that are no list are none.
+    """
+    body = F.trim(F.regexp_replace(c, r"```(?:json)?", ""))
+    whole = F.try_parse_json(body)
+    value = F.coalesce(whole, F.try_parse_json(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
+    first = F.coalesce(F.try_variant_get(value, "$[0]", "variant"), value)
+    object_ = F.try_variant_get(first, "$", "map<string,variant>")
+    keys = F.array(*[F.lit(k) for k in LINE_KEYS])
+    present = F.filter(keys, lambda k: F.map_contains_key(object_, k))
+    nested = F.map_contains_key(object_, F.lit("header")) & (F.size(F.array_remove(present, "table_items")) > 0)
+    key = F.get(F.when(nested, F.array_remove(present, "table_items")).otherwise(present), F.lit(0))
+    texts = lambda v: F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: F.try_variant_get(x, "$", "string"))
+    flat = F.transform_values(F.map_filter(object_, lambda k, _: k != key), lambda _, x: F.try_variant_get(x, "$", "string"))
+    none = F.create_map().cast("map<string,string>")
+    header = F.coalesce(F.when(nested, texts(F.try_element_at(object_, F.lit("header")))).otherwise(flat), none)
+    lines = F.transform(F.try_variant_get(F.try_element_at(object_, key), "$", "array<variant>"), texts)
+    return F.when(F.size(present) > 0, F.struct(header.alias("header"), F.coalesce(lines, F.array().cast("array<map<string,string>>")).alias("line_items")))
+
+
+def image_text(content: Column) -> Column:
+    """an image's bytes as base64 text."""
+    return F.base64(content)
+
+
+def nested_as_json(df, columns: list[str] | None = None):
+    """arrays, maps and structs as JSON text, all other columns as they are."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.to_json(c) for c in columns or df.columns if kinds[c].startswith(("array", "map", "struct"))})
+
+
 def escape_regex(text: str) -> str:
     """A literal for both Java's and RE2's syntax."""
     import re

@@ -102,3 +102,19 @@ def anchors(words: DataFrame) -> DataFrame:
     w = W.partitionBy("page", "y").orderBy(F.desc("x"))
     last = words.where(F.col("text").rlike(r"^[\d,]+(\.\d+)?$")).withColumn("k", F.row_number().over(w)).where("k <= 3")
     return last.groupBy("page", "k").agg(F.percentile("x", 0.5).alias("x"))
+
+
+def category_sum(rows: DataFrame, category: str, amount: str, only: str | None = None) -> DataFrame:
+    """The sum of an amount by category, or of one category (in whatever case); a missing category is its own."""
+    rows = rows if only is None else rows.where(F.lower(category) == only.lower())
+    return rows.groupBy(category).agg(F.sum(amount).alias("total"), F.count("*").alias("n"))
+
+
+def categories(rows: DataFrame, category: str) -> DataFrame:
+    """The distinct categories in use."""
+    return rows.select(category).where(F.coalesce(F.trim(category), F.lit("")) != "").distinct()
+
+
+def alphabetical(rows: DataFrame, name: str) -> DataFrame:
+    """Rows by name regardless of case, then as written."""
+    return rows.orderBy(F.lower(name), name)

@@ -39,6 +39,29 @@ def equal_filters(docs: DataFrame, **values) -> DataFrame:
     return docs
 
 
+def equal_ignoring_case(df: DataFrame, column: str, value: str | None) -> DataFrame:
+    """P5: rows whose column equals the value in whatever case; None, '' and 'all' filter nothing."""
+    return df if value in (None, "", "all") else df.where(F.lower(column) == value.lower())
+
+
+def by_file_name(docs: DataFrame, part: str, column: str = "source_file") -> DataFrame:
+    """Documents whose file name contains a text, in whatever case; % and _ mean themselves."""
+    return docs.where(F.lower(F.coalesce(F.col(column), F.lit(""))).contains(part.lower())) if part else docs
+
+
+def with_default_date(docs: DataFrame, default: str, column: str = "document_date") -> DataFrame:
+    """F16: a missing date takes the default; `shown` is the date in ISO form."""
+    filled = docs.withColumn(column, F.coalesce(F.col(column), F.lit(default).cast("date")))
+    return filled.withColumn("shown", F.date_format(column, "yyyy-MM-dd"))
+
+
+def sharing_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (id, words) of both sides that have a word in common: left_id, right_id, once per pair; words meet in an equi-join."""
+    l = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("words")).alias("w"))
+    r = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("words")).alias("w"))
+    return l.join(r, "w").select("left_id", "right_id").distinct()
+
+
 def type_family(c: Column, family: str) -> Column:
     """A family of types, by list or by containment; other values match by containment."""
     family = family.lower()
@@ -59,9 +82,9 @@ def any_like(columns: list[str], term: str, escape: bool = False) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).cast("string"), F.lit("")).ilike(pattern(term, escape)) for c in columns])
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 10) -> tuple[DataFrame, int]:
-    """O1: one page and the total."""
-    return df.orderBy(*order).offset((max(1, number) - 1) * limit).limit(limit), df.count()
+def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """O1: one page, and a frame of the total (one row, `total`); nothing runs before either is read."""
+    return df.orderBy(*order).offset((max(1, number) - 1) * limit).limit(limit), df.agg(F.count("*").alias("total"))
 
 
 def split_prefix(query: str) -> tuple[str | None, str]:
@@ -166,13 +189,38 @@ def value_frequencies(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def ghost_suggestion(freqs: DataFrame, text: str) -> DataFrame:
-    """The best completion: prefix matches first, then frequent, short, and by name."""
-    low = text.lower()
+#: Prefixes of a scoped suggestion and the field each one means.
+GHOST_PREFIXES = {
+    "vendor": "vendor", "v": "vendor", "customer": "customer", "c": "customer", "brand": "brand", "b": "brand", "code": "code", "item_code": "code", "item": "code",
+    "hsn": "hsn", "hsn_code": "hsn", "doc": "doc", "document_no": "doc", "number": "doc", "type": "type", "document_type": "type", "desc": "desc", "description": "desc",
+}
+
+
+def _best(freqs: DataFrame, low: str) -> DataFrame:
     hits = freqs.where(F.lower("value").contains(low))
     return hits.orderBy(F.lower("value").startswith(low).desc(), F.col("freq").desc(), F.length("value"), "value", "field").limit(1)
 
 
+def ghost_suggestion(freqs: DataFrame, text: str) -> DataFrame:
+    """The best completion: prefix matches first, then frequent, short, and by name."""
+    return _best(freqs, text.lower())
+
+
+def scoped_suggestion(freqs: DataFrame, text: str) -> DataFrame:
+    """for `prefix:term` the best completion of the term in the prefix's field as `prefix:value`, else that of the whole text in any field.
+
+    One row at most: suggestion, value, prefix (null for a free one). An unknown
+    prefix or an empty term is searched as it stands.
+    """
+    head, colon, term = text.partition(":")
+    field, term = GHOST_PREFIXES.get(head.strip().lower()), term.strip().lower()
+    free = _best(freqs, text.lower()).select(F.lit(1).alias("place"), F.col("value").alias("suggestion"), "value", F.lit(None).cast("string").alias("prefix"))
+    if not (colon and field and term):
+        return free.drop("place")
+    own = _best(freqs.where(F.col("field") == field), term).select(F.lit(0).alias("place"), F.concat(F.lit(f"{field}:"), "value").alias("suggestion"), "value", F.lit(f"{field}:").alias("prefix"))
+    return own.unionByName(free).orderBy("place").limit(1).drop("place")
+
+
 def without_summary_rows(items: DataFrame) -> DataFrame:
     """Rows that state totals are no lines."""
     total = F.lower(F.trim("description")).rlike(r"^(sub\s*)?total\b|^grand\s*total|^amount in words|^net payable|^(c|s|i)gst\b")

@@ -46,24 +46,44 @@ def field_map(spark: SparkSession, extra: list[tuple[str, str, str]] = ()) -> Da
     return df.groupBy("document_type", "source_field").agg(F.max_by("target", "ord").alias("target"))
 
 
+def _side_map(rows: DataFrame, key: Column, value: Column) -> Column:
+    """A side table of rules as one map, a scalar subquery: rows look it up where they are, without a join on a handful of keys.
+
+    Rule tables are written by hand, so they are small by nature. Null keys are
+    left out; of two values of a key the greater is taken.
+    """
+    one = rows.select(key.alias("k"), value.alias("v")).where("k is not null").groupBy("k").agg(F.max("v").alias("v"))
+    return one.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
+
+
+def _scoped(document_type: Column | str, field: Column | str) -> Column:
+    return F.concat(document_type, F.lit("\n"), field)
+
+
 def map_fields(rows: DataFrame, mapping: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Rows (key, document_type, record map) -> mapped fields and extras.
 
     A name is looked up as is, then through its alias; the rest goes to extras.
-    Two sources of one target: the smallest source name wins.
+    Two sources of one target: the smallest source name wins. A null record is
+    an empty one.
     """
-    kv = rows.select("key", "document_type", F.explode_outer("record").alias("source", "value")).withColumn("source_field", normalize_key(F.replace("source", F.lit("_"), F.lit(" "))))
-    if aliases is not None:
-        a = aliases.select(normalize_key(F.col("alias")).alias("__a"), normalize_key(F.col("canonical")).alias("__c"))
-        kv = kv.join(a, F.col("source_field") == F.col("__a"), "left").withColumn("alt", F.coalesce("__c", "source_field")).drop("__a", "__c")
-    else:
-        kv = kv.withColumn("alt", F.col("source_field"))
-    m = kv.join(mapping, ["document_type", "source_field"], "left")
-    if aliases is not None:
-        m = m.join(mapping.select("document_type", F.col("source_field").alias("alt"), F.col("target").alias("target2")), ["document_type", "alt"], "left").withColumn("target", F.coalesce("target", "target2"))
-    one = m.groupBy("key", "document_type", F.coalesce("target", F.col("source")).alias("name"), F.col("target").isNotNull().alias("known")).agg(F.min_by("value", "source").alias("value"))
-    entries = lambda known: F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("known") == known) & F.col("name").isNotNull(), F.struct("name", "value")))))
-    return one.groupBy("key", "document_type").agg(entries(True).alias("mapped"), entries(False).alias("extras"))
+    targets = _side_map(mapping, _scoped("document_type", "source_field"), F.col("target"))
+    canonical = None if aliases is None else _side_map(aliases, normalize_key(F.col("alias")), normalize_key(F.col("canonical")))
+
+    def named(e: Column) -> Column:
+        field = normalize_key(F.replace(e["key"], F.lit("_"), F.lit(" ")))
+        target = F.try_element_at(F.col("__t"), _scoped("document_type", field))
+        if canonical is not None:
+            target = F.coalesce(target, F.try_element_at(F.col("__t"), _scoped("document_type", F.try_element_at(F.col("__c"), field))))
+        return F.struct(target.alias("target"), e["key"].alias("source"), e["value"].alias("value"))
+
+    side = {"__t": targets} | ({} if canonical is None else {"__c": canonical})
+    found = rows.withColumns(side).withColumn("__e", F.sort_array(F.transform(F.map_entries(F.coalesce("record", F.create_map().cast("map<string,string>"))), named)))
+    # Sorted by target and source, the first of a target is the one that stays.
+    known = F.filter("__e", lambda e: e["target"].isNotNull())
+    first = F.filter(known, lambda e, k: (k == 0) | (F.get(known, k - 1)["target"] != e["target"]))
+    entries = lambda xs, name: F.map_from_entries(F.transform(xs, lambda e: F.struct(e[name].alias("name"), e["value"])))
+    return found.select("key", "document_type", entries(first, "target").alias("mapped"), entries(F.filter("__e", lambda e: e["target"].isNull()), "source").alias("extras"))
 
 
 def _amount(c: str) -> Column:
@@ -90,14 +110,53 @@ def route(rows: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
 
 def normalize_record(rows: DataFrame, types: DataFrame) -> DataFrame:
     """values by their column's type (key, type); what does not parse stays as it is and is warned about: (row, record, warnings)."""
-    kv = rows.select("row", F.explode("record").alias("key", "v")).join(types, "key", "left")
-    text = clean_text(F.col("v"))
-    nullish = F.lower(text).isin("", "n/a", "none", "-") | ((F.col("type") == "date") & (F.lower(text) == "null"))
-    parsed = F.when(F.col("type") == "date", dates.parse_month_first(text).cast("string")).when(F.col("type") == "currency", numeric.normalize_currency(text).cast("string")).when(F.col("type") == "number", numeric.normalize_number(text).cast("string")).otherwise(text)
-    typed = F.coalesce("type", F.lit("text")).isin("date", "currency", "number")
-    bad = typed & parsed.isNull() & ~nullish
-    out = kv.withColumns({"out": F.when(bad, F.col("v")).otherwise(parsed), "warn": F.when(bad, F.concat(F.lit("Field '"), "key", F.lit("' failed "), "type", F.lit(" normalisation for value '"), "v", F.lit("'")))})
-    return out.groupBy("row").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "out")))).alias("record"), F.sort_array(F.collect_list("warn")).alias("warnings"))
+    kinds = _side_map(types, F.col("key"), F.col("type"))
+
+    def typed(e: Column) -> Column:
+        kind, text = F.coalesce(F.try_element_at(F.col("__kinds"), e["key"]), F.lit("text")), clean_text(e["value"])
+        return F.struct(e["key"].alias("key"), e["value"].alias("v"), kind.alias("kind"), text.alias("text"))
+
+    def parsed(x: Column) -> Column:
+        out = F.when(x["kind"] == "date", dates.parse_month_first(x["text"]).cast("string")).when(x["kind"] == "currency", numeric.normalize_currency(x["text"]).cast("string")).when(x["kind"] == "number", numeric.normalize_number(x["text"]).cast("string")).otherwise(x["text"])
+        return F.struct(x["key"].alias("key"), x["v"].alias("v"), x["kind"].alias("kind"), x["text"].alias("text"), out.alias("out"))
+
+    def judged(x: Column) -> Column:
+        nullish = F.lower(x["text"]).isin("", "n/a", "none", "-") | ((x["kind"] == "date") & (F.lower(x["text"]) == "null"))
+        bad = x["kind"].isin("date", "currency", "number") & x["out"].isNull() & ~nullish
+        warn = F.when(bad, F.concat(F.lit("Field '"), x["key"], F.lit("' failed "), x["kind"], F.lit(" normalisation for value '"), x["v"], F.lit("'")))
+        return F.struct(x["key"].alias("key"), F.when(bad, x["v"]).otherwise(x["out"]).alias("out"), warn.alias("warn"))
+
+    # One step after the other, so that no step is written out twice in the next.
+    entries = F.sort_array(F.map_entries("record"))
+    done = rows.withColumn("__kinds", kinds).select("row", F.transform(F.transform(F.transform(entries, typed), parsed), judged).alias("__x"))
+    return done.select("row", F.map_from_entries(F.transform("__x", lambda x: F.struct(x["key"], x["out"]))).alias("record"), F.sort_array(F.filter(F.transform("__x", lambda x: x["warn"]), lambda w: w.isNotNull())).alias("warnings"))
+
+
+def normalize_document(rows: DataFrame, types: DataFrame, file_names: DataFrame | None = None) -> DataFrame:
+    """rows (doc, row, record) -> (doc, row, record, warnings, is_catalog): catalog documents go through the catalog rules, others through F37.
+
+    A document is a catalog if any of its rows has a cell that is a catalog
+    code, under col_N keys, or if its file name (doc, name) says price list or
+    catalog. Catalog rows get canonical keys, code and description.
+    """
+    from . import catalogs as C
+
+    sheet = F.exists(F.map_keys("record"), lambda k: k.startswith("col_"))
+    said = rows.groupBy("doc").agg(F.bool_or(sheet & C.is_item_row(F.col("record"))).alias("is_catalog"), F.bool_or(sheet).alias("__sheet"))
+    if file_names is not None:
+        named = file_names.where(F.lower("name").rlike("price list|catalog|price_list")).select(F.col("doc").alias("__n")).distinct()
+        said = said.join(named, F.col("doc") == F.col("__n"), "left").withColumn("is_catalog", F.col("is_catalog") | (F.col("__sheet") & F.col("__n").isNotNull())).drop("__n")
+    marked = rows.join(said.select(F.col("doc").alias("__d"), F.coalesce("is_catalog", F.lit(False)).alias("is_catalog")), F.col("doc") == F.col("__d"))
+    plain = normalize_record(marked.where("not is_catalog").select(F.struct("doc", "row").alias("row"), "record"), types)
+    r = F.col("record")
+    items = F.map_concat(F.map_filter(r, lambda k, v: ~k.isin("Item Code", "Description")), F.create_map(F.lit("Item Code"), C.item_code(r), F.lit("Description"), C.description(r)))
+    rich = marked.where("is_catalog").select("doc", "row", items.alias("record"), F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("is_catalog"))
+    return plain.select("row.doc", "row.row", "record", "warnings", F.lit(False).alias("is_catalog")).unionByName(rich)
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps as one; of a key in both the right value stays."""
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
 
 
 def to_eav(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

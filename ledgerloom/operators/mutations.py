@@ -97,3 +97,89 @@ def export_table(df: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     return df.select(*[shown(c, k).alias(c) for c, k in df.dtypes])
+
+
+def id_of(name: Column) -> Column:
+    """A positive id from a name, the same in every run and on every executor; no counter has to be shared."""
+    return F.shiftrightunsigned(F.xxhash64(name), 1)
+
+
+def insert_vendors(vendors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New vendors (name, ...) appended; returns (vendors, what was inserted with ids).
+
+    Names are compared as normalised; one known already, or blank, inserts
+    nothing, and of several of one name the smallest is taken.
+    """
+    from ..functions.text import normalize_name
+
+    rest = [c for c in new.columns if c != "name"]
+    fresh = new.withColumn("__n", normalize_name(F.col("name"))).where("__n != ''").groupBy("__n").agg(F.min(F.struct("name", *rest)).alias("r"))
+    fresh = fresh.join(vendors.select(normalize_name(F.col("name")).alias("__k")).distinct(), F.col("__n") == F.col("__k"), "left_anti")
+    rows = fresh.select(id_of(F.col("__n")).alias("id"), "r.*")
+    return vendors.unionByName(rows, allowMissingColumns=True), rows
+
+
+def save_documents(new: DataFrame, new_items: DataFrame, documents: DataFrame, items: DataFrame, vendors: DataFrame, customers: DataFrame, allow_duplicate: bool = False) -> dict[str, DataFrame]:
+    """K1: new documents and their lines saved as one plan, after duplicate detection and entity resolution.
+
+    new: id (unique), document_no, document_type, document_date,
+    grand_total_final, file_hash, vendor_name, vendor_gstin, customer_name,
+    customer_gstin and any further columns; `documents` and `items` are the
+    tables so far, vendors and customers have (id, name, gstin). A document is a
+    duplicate by its file's hash, else by `duplicate_documents`; it and its
+    lines are not saved. Names resolve by tax number or likeness, others become
+    new entities. Returns the snapshots documents, items, vendors and customers,
+    and outcome (id, is_duplicate, duplicate_of). A null hash equals none.
+    """
+    from .entities import duplicate_documents, resolve_entities
+
+    heads = ["id", "document_no", "document_type", "document_date", "grand_total_final"]
+    if allow_duplicate:
+        outcome = new.select("id", F.lit(False).alias("is_duplicate"), F.lit(None).cast("long").alias("duplicate_of"))
+    else:
+        hashes = documents.where("file_hash is not null").groupBy(F.col("file_hash").alias("__h")).agg(F.min("id").alias("by_hash"))
+        by_values = duplicate_documents(new.select(*heads), new_items, documents.select(*heads), items)
+        found = new.select("id", "file_hash").join(hashes, F.col("file_hash") == F.col("__h"), "left").join(by_values, F.col("id") == F.col("new_id"), "left")
+        first = F.coalesce("by_hash", "duplicate_of")
+        outcome = found.select("id", first.isNotNull().alias("is_duplicate"), first.alias("duplicate_of"))
+    # What later steps read several times is written to the checkpoint folder first, so that no step repeats the ones before it.
+    outcome = outcome.checkpoint()
+    fresh = new.join(outcome.where("not is_duplicate").select(F.col("id").alias("__i")), F.col("id") == F.col("__i"), "left_semi").checkpoint()
+    out = {"outcome": outcome}
+    for kind, known in (("vendor", vendors), ("customer", customers)):
+        seen = fresh.select(F.col("id").alias("key"), F.col(f"{kind}_name").alias("name"), F.col(f"{kind}_gstin").alias("gstin"))
+        found = resolve_entities(seen, known.select("id", "name", "gstin")).checkpoint()
+        unknown = seen.join(found.where("entity_id is null").select(F.col("key").alias("__k")), F.col("key") == F.col("__k"), "left_semi")
+        out[f"{kind}s"], added = insert_vendors(known, unknown.select("name", "gstin"))
+        from ..functions.text import normalize_name
+
+        ids = found.join(seen.select(F.col("key").alias("__s"), "name"), F.col("key") == F.col("__s")).join(added.select(F.col("id").alias("__new"), normalize_name(F.col("name")).alias("__n")), normalize_name(F.col("name")) == F.col("__n"), "left")
+        ids = ids.select(F.col("key").alias("__key"), F.coalesce("entity_id", "__new").alias(f"{kind}_id"))
+        fresh = fresh.join(ids, F.col("id") == F.col("__key"), "left").drop("__key").checkpoint()
+    kept = fresh.drop(*[f"{k}_{part}" for k in ("vendor", "customer") for part in ("name", "gstin")])
+    out["documents"] = documents.unionByName(kept, allowMissingColumns=True)
+    lines = new_items.join(fresh.select(F.col("id").alias("__i")), F.col("document_id") == F.col("__i"), "left_semi")
+    out["items"] = items.unionByName(lines, allowMissingColumns=True)
+    return out
+
+
+#: Stages of a document's way, in order.
+STAGES = ["received", "classified", "extracted", "normalized", "mapped", "routed"]
+
+
+def log_stage(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """K6: stage rows (document_id, stage, status, message, ts) appended."""
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def resume_points(log: DataFrame, stages: list[str] | None = None) -> DataFrame:
+    """Per document (document_id, last_stage, next_stage, failed): the furthest stage done, the one to run next (the first without any; null at the end), and whether its last row failed.
+
+    Stages that are no part of the order are ignored.
+    """
+    order = F.create_map(*[x for k, s in enumerate(stages or STAGES) for x in (F.lit(s), F.lit(k))])
+    names = F.array(*[F.lit(s) for s in stages or STAGES])
+    rows = log.withColumn("__k", F.try_element_at(order, F.col("stage")))
+    done = F.max(F.when(F.col("status") == "done", F.col("__k")))
+    found = rows.groupBy("document_id").agg(F.coalesce(done, F.lit(-1)).alias("k"), F.coalesce(F.max_by("status", F.struct("ts", "__k")) == "failed", F.lit(False)).alias("failed"))
+    return found.select("document_id", F.get(names, F.col("k")).alias("last_stage"), F.get(names, F.col("k") + 1).alias("next_stage"), "failed")

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import aliases as L
 from ..operators import grids as G
 from ..operators import mapping as M
-from ..session import table
+from ..session import spread, table
 from ..sources import files as S
 from ..views import with_views
 from .registry import query
@@ -29,10 +29,36 @@ def normalize_name(s, d):
     return V.vendors(s, d).select("id", X.normalize_name(F.concat("name", F.lit(" Pvt Ltd"))).alias("n"))
 
 
-@query("f01_to_decimal", with_views("select document_id, line_no, item_code, cast(qty as decimal(18,2)) as qty, cast(0 as decimal(18,2)) as bad from items", "items"))
+@query("f01_to_decimal", with_views("select document_id, line_no, item_code, cast(case line_no % 6 when 0 then 0 when 1 then qty when 2 then 0 when 3 then 1250.75 when 4 then 0 else -qty end as decimal(18,2)) as qty from items", "items"))
 def to_decimal(s, d):
-    items = V.items(s, d)
-    return items.select("document_id", "line_no", "item_code", numeric.to_decimal(F.concat(F.lit(" "), F.col("qty").cast("decimal(10,2)").cast("string"), F.lit(" %"))).cast("decimal(18,2)").alias("qty"), numeric.to_decimal(F.lit("n/a")).cast("decimal(18,2)").alias("bad"))
+    """percent signs, blanks, separators, signs, null-likes and words."""
+    q = F.col("qty").cast("decimal(10,2)").cast("string")
+    k = F.col("line_no") % 6
+    raw = F.when(k == 1, F.concat(F.lit(" "), q, F.lit(" %"))).when(k == 2, "n/a").when(k == 3, "1,250.75").when(k == 4, "ten").when(k == 5, F.concat(F.lit("-"), q))
+    return V.items(s, d).select("document_id", "line_no", "item_code", numeric.to_decimal(raw).cast("decimal(18,2)").alias("qty"))
+
+
+@query("f04_clean_numeric", "select n_nationkey, case n_nationkey % 5 when 0 then '12%' when 1 then '(1,250.00' when 2 then '' when 3 then '-7.5' else cast(n_nationkey as varchar) || '.' end as shown from nation")
+def clean_numeric(s, d):
+    k = F.col("n_nationkey") % 5
+    raw = F.when(k == 0, "approx. 12% ".replace(".", "")).when(k == 1, "Rs (1,250.00)").when(k == 3, "x-7.5 kg").when(k == 4, F.concat(F.lit("no "), F.col("n_nationkey").cast("string"), F.lit(".")))
+    return table(s, d, "nation").select("n_nationkey", numeric.clean_numeric(raw).alias("shown"))
+
+
+@query("f08_split_merged", "select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as decimal(18,2)) as qty, cast(cast(l_quantity as decimal(10,2)) * 12.5 as decimal(18,2)) as total from lineitem")
+def split_merged(s, d):
+    """F8: quantity and total printed as one, told apart by the price."""
+    q = F.col("l_quantity").cast("decimal(10,2)")
+    token = F.concat(q.cast("string"), (q * F.lit("12.5").cast("decimal(3,1)")).cast("decimal(18,2)").cast("string"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", numeric.split_merged_qty_total(token, F.lit("12.50").cast("decimal(18,2)")).alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "x.qty", "x.total")
+
+
+@query("f09_split_qty", "select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as decimal(18,2)) as qty, case l_linenumber % 3 when 0 then 'Nos' when 1 then 'kg' else '' end as uom from lineitem")
+def split_qty(s, d):
+    q, k = F.col("l_quantity").cast("decimal(10,2)").cast("string"), F.col("l_linenumber") % 3
+    raw = F.when(k == 0, F.concat(q, F.lit(" Nos"))).when(k == 1, F.concat(q, F.lit("kg"))).otherwise(q)
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", numeric.split_qty_uom(raw).alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "x.qty", "x.uom")
 
 
 @query("f02_currency", "select o_orderkey, cast(cast(o_totalprice as decimal(14,2)) * (case when o_orderkey % 5 = 0 then -1 else 1 end) as decimal(20,4)) as amount from orders")
@@ -44,13 +70,23 @@ def currency(s, d):
 
 @query("f13_dates", "select o_orderkey, cast(o_orderdate as date) as day_first, cast(o_orderdate as date) as month_first from orders")
 def parse_dates(s, d):
+    """every format of both conventions by turns; month before day only where the day cannot be a month."""
     o = table(s, d, "orders").withColumn("t", F.col("o_orderdate").cast("date"))
-    return o.select("o_orderkey", dates.parse_day_first(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("t", "d-MMM-yyyy")).otherwise(F.date_format("t", "dd/MM/yyyy"))).alias("day_first"), dates.parse_month_first(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("t", "MM/dd/yyyy")).otherwise(F.date_format("t", "MMMM d, yyyy"))).alias("month_first"))
 
+    def told(formats):
+        k, out = F.col("o_custkey") % len(formats), None
+        for n, f in enumerate(formats):
+            out = F.when(k == n, F.date_format("t", f)) if out is None else out.when(k == n, F.date_format("t", f))
+        return out
+
+    late = F.when((F.dayofmonth("t") > 12) & (F.col("o_custkey") % 7 == 0), F.date_format("t", "M/d/yyyy")).otherwise(told(["yyyy-MM-dd", "d-MMM-yyyy", "d-MMMM-yyyy", "d-M-yyyy", "dd/MM/yyyy"]))
+    return o.select("o_orderkey", dates.parse_day_first(late).alias("day_first"), dates.parse_month_first(told(["yyyy-MM-dd", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "M-d-yyyy"])).alias("month_first"))
 
-@query("f11_indian_digits", None)
+
+@query("f11_indian_digits", """with t as (select o_orderkey, cast(o_totalprice * 1000 as decimal(18,2)) as v from orders), p as (select *, split_part(cast(v as varchar), '.', 1) as w, split_part(cast(v as varchar), '.', 2) as c from t)
+select o_orderkey, '₹' || case when length(w) > 3 then ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\\d{2})', '\\1,', 'g')), ',') || ',' || right(w, 3) else w end || '.' || c as shown from p""")
 def indian_digits(s, d):
-    return table(s, d, "orders").select("o_orderkey", numeric.group_indian(F.col("o_totalprice").cast("decimal(14,2)")).alias("shown"))
+    return table(s, d, "orders").select("o_orderkey", numeric.group_indian((F.col("o_totalprice") * 1000).cast("decimal(18,2)")).alias("shown"))
 
 
 @query("f30_type_label", with_views("select distinct document_type, case document_type when 'invoice_final' then 'Invoice Final' when 'invoice_proforma' then 'Invoice Proforma' when 'purchase_order' then 'Purchase Order' when 'quotation' then 'Quotation' else 'Patient Account Statement' end as label from docs", "docs"))
@@ -58,17 +94,21 @@ def type_label(s, d):
     return V.documents(s, d).select("document_type", X.type_label(F.col("document_type")).alias("label")).distinct()
 
 
-CLASSES = """select doc_id, case when n like '%account statement%' then 'patient_account_statement' when n like '%proforma%' then 'invoice_proforma' when n like '%po number%' or n like '%po no%' then 'purchase_order' when n like '%invoice%' then 'invoice_final' when n like '%quot%' or n like '%validity%' then 'quotation' end as document_type from
-(select doc_id, lower(lang || ' ' || case doc_id % 6 when 0 then 'Account  Statement' when 1 then 'PROFORMA invoice' when 2 then 'PO number' when 3 then 'Tax Invoice' when 4 then 'Quotation' else 'nothing' end) as n from (select doc_id, lang from documents))"""
+_CLASS_WORDS = [w for r in Y.RULES for w in r[3]]
+
 
+def _class_sql() -> str:
+    """The ordered rules over the texts, each with one of the rules' words at its end."""
+    words = ", ".join(f"'{w}'" for w in [*_CLASS_WORDS, ""])
+    case = " ".join("when " + " or ".join(f"contains(n, '{w}')" for w in r[3]) + f" then '{r[0]}'" for r in Y.RULES)
+    return f"with t as (select doc_id, regexp_replace(lower(text || ' ' || [{words}][1 + doc_id % {len(_CLASS_WORDS) + 1}]), '\\s+', ' ', 'g') as n from documents) select doc_id, case {case} end as document_type from t"
 
-@query("f31_classify", CLASSES.replace("'Account  Statement'", "'Account Statement'"))
+
+@query("f31_classify", _class_sql())
 def classify(s, d):
-    words = {0: "Account  Statement", 1: "PROFORMA invoice", 2: "PO number", 3: "Tax Invoice", 4: "Quotation"}
-    tail = None
-    for k, w in words.items():
-        tail = F.when(F.col("doc_id") % 6 == k, w) if tail is None else tail.when(F.col("doc_id") % 6 == k, w)
-    docs = table(s, d, "documents").select("doc_id", F.concat("lang", F.lit(" "), tail.otherwise("nothing")).alias("t"))
+    """every word of every rule at the end of some whole text."""
+    word = F.element_at(F.array(*[F.lit(w.upper()) for w in [*_CLASS_WORDS, ""]]), (F.col("doc_id") % (len(_CLASS_WORDS) + 1) + 1).cast("int"))
+    docs = table(s, d, "documents").select("doc_id", F.concat("text", F.lit("  "), word).alias("t"))
     return docs.select("doc_id", Y.classify(F.col("t"))["document_type"].alias("document_type"))
 
 
@@ -83,7 +123,7 @@ def _density_sql() -> str:
 
 @query("a15_density", _density_sql())
 def density(s, d):
-    return Y.keyword_density(table(s, d, "documents"), "text", RULES).select("doc_id", "document_type", "score")
+    return Y.keyword_density(spread(table(s, d, "documents")), "text", RULES).select("doc_id", "document_type", "score")
 
 
 @query("s14_lines", "select doc_id, count(*) as n_lines, max(length(l)) as longest from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) group by 1")
@@ -137,22 +177,12 @@ def column_types(s, d):
     return G.column_types(G.records(_grid(s, d)), ["row_idx"])
 
 
-@query("s28_unroll", "with l as (select doc_id, string_split(text, chr(10)) as ls from documents where length(text) < 2000) select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as part, nullif(trim(unnest(ls)), '') as line from l")
+@query("s28_unroll", "with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as part, nullif(trim(unnest(ls)), '') as line from l")
 def unroll(s, d):
-    return _unrolled(table(s, d, "documents").where(F.length("text") < 2000))
-
-
-def _unrolled(t):
-    grid = t.select(F.col("doc_id").cast("string").alias("doc"), F.lit("s").alias("sheet"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"), "doc_id")
+    grid = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit("s").alias("sheet"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"), "doc_id")
     return G.unroll_cells(grid).select(F.col("doc").cast("long").alias("doc_id"), "part", F.col("cells")[0].alias("line"))
 
 
-@query("s28_unroll_whole", "with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) select doc_id, cast(unnest(range(1, len(ls) + 1)) as integer) as part, nullif(trim(unnest(ls)), '') as line from l")
-def unroll_whole(s, d):
-    """s28_unroll without its filter by length: every document, texts of any length."""
-    return _unrolled(table(s, d, "documents"))
-
-
 @query("s31_text_items", None)
 def text_items(s, d):
     items = V.items(s, d)
@@ -163,7 +193,7 @@ def text_items(s, d):
 
 @query("j13_mapping", with_views("select id as key, document_no as invoice_number, cast(grand_total_final as varchar) as total_amount, source_file as extra from docs", "docs"))
 def mapping(s, d):
-    rows = V.documents(s, d).select(F.col("id").alias("key"), F.lit("invoice").alias("document_type"), F.create_map(F.lit("Invoice  #"), F.col("document_no"), F.lit("total due"), F.col("grand_total_final").cast("string"), F.lit("source"), F.col("source_file")).alias("record"))
+    rows = spread(V.documents(s, d)).select(F.col("id").alias("key"), F.lit("invoice").alias("document_type"), F.create_map(F.lit("Invoice  #"), F.col("document_no"), F.lit("total due"), F.col("grand_total_final").cast("string"), F.lit("source"), F.col("source_file")).alias("record"))
     out = M.map_fields(rows, M.field_map(s))
     return out.select("key", F.col("mapped")["invoice_number"].alias("invoice_number"), F.col("mapped")["total_amount"].alias("total_amount"), F.col("extras")["source"].alias("extra"))
 
@@ -178,7 +208,7 @@ def routing(s, d):
 
 @query("f37_normalize_record", with_views("select id as row, cast(document_date as varchar) as d, cast(cast(grand_total_final as decimal(20,4)) as varchar) as t, 'oops' as bad, 1 as n_warnings from docs", "docs"))
 def normalize_record(s, d):
-    docs = V.documents(s, d)
+    docs = spread(V.documents(s, d))
     rows = docs.select(F.col("id").alias("row"), F.create_map(F.lit("d"), F.date_format("document_date", "MM/dd/yyyy"), F.lit("t"), F.concat(F.lit("$"), F.format_number("grand_total_final", 2)), F.lit("bad"), F.lit("oops")).alias("record"))
     types = s.createDataFrame([("d", "date"), ("t", "currency"), ("bad", "number")], "key string, type string")
     out = M.normalize_record(rows, types)

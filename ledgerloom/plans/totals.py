@@ -163,46 +163,26 @@ def fill_totals(s, d):
     return out.select("id", F.col("grand_total_taxable").cast("decimal(20,4)").alias("grand_total_taxable"), F.col("grand_total_final").cast("decimal(20,4)").alias("grand_total_final"))
 
 
-@query("a12e_verify", with_views("select d.document_no, coalesce(s.n_items = n.n + d.id % 2, false) as reconciled from docs d left join sums s on s.document_id = d.id left join (select document_id, count(*) as n from items group by 1) n on n.document_id = d.id where d.id % 10 = 1", "docs", "items", **SUMS))
+@query("a12e_verify", with_views("select d.document_no, coalesce(s.n_items = n.n + d.id % 2, false) as reconciled from docs d left join sums s on s.document_id = d.id left join (select document_id, count(*) as n from items group by 1) n on n.document_id = d.id", "docs", "items", **SUMS))
 def verify(s, d):
-    return _verified(s, d, "id % 10 = 1")
-
-
-def _verified(s, d, chosen):
+    """A12e over all documents; those with an odd id are given one line too many."""
     items = R.validate_line(V.items(s, d))
     docs = V.documents(s, d)
     sums = C.line_sums(items)
-    expected = docs.where(chosen).join(sums, F.col("id") == F.col("document_id"), "left").select("document_no", (F.col("n_items") + F.col("id") % 2).alias("lines"), F.col("s_taxable").alias("taxable"), F.col("s_cgst").alias("cgst"), F.col("s_sgst").alias("sgst"), F.col("s_final").alias("final"))
+    expected = docs.join(sums, F.col("id") == F.col("document_id"), "left").select("document_no", (F.col("n_items") + F.col("id") % 2).alias("lines"), F.col("s_taxable").alias("taxable"), F.col("s_cgst").alias("cgst"), F.col("s_sgst").alias("sgst"), F.col("s_final").alias("final"))
     return C.verify_against(docs, items, expected)
 
 
-@query("a12e_verify_whole", with_views("select d.document_no, coalesce(s.n_items = n.n + d.id % 2, false) as reconciled from docs d left join sums s on s.document_id = d.id left join (select document_id, count(*) as n from items group by 1) n on n.document_id = d.id", "docs", "items", **SUMS))
-def verify_whole(s, d):
-    """a12e_verify over all documents; those with an odd id are given one line too many."""
-    return _verified(s, d, "true")
-
-
-@query("k09_edit_lines", with_views("select document_id, line_no, item_code, cast(case when document_id % 100 = 0 and line_no = 1 then 3 else qty end as decimal(18,2)) as qty from items where document_id % 10 = 0", "items"))
+@query("k09_edit_lines", with_views("select document_id, line_no, item_code, cast(case when document_id % 100 = 0 and line_no = 1 then 3 else qty end as decimal(18,2)) as qty from items", "items"))
 def edit_lines(s, d):
+    """K9: some first lines of documents get another quantity, in the whole table of lines."""
     from ..operators.mutations import edit_lines as f
 
-    items = V.items(s, d).where("document_id % 10 = 0")
-    return _edited(f, items)
-
-
-def _edited(f, items):
+    items = V.items(s, d)
     edits = items.where("document_id % 100 = 0 and line_no = 1").select("document_id", "line_no").distinct().select("document_id", "line_no", F.lit(3).alias("qty"), F.lit(None).cast("decimal(20,8)").alias("rate"))
     return f(items, edits).select("document_id", "line_no", "item_code", F.col("qty").cast("decimal(18,2)").alias("qty"))
 
 
-@query("k09_edit_lines_whole", with_views("select document_id, line_no, item_code, cast(case when document_id % 100 = 0 and line_no = 1 then 3 else qty end as decimal(18,2)) as qty from items", "items"))
-def edit_lines_whole(s, d):
-    """k09_edit_lines over the whole table of lines, the edits as they are."""
-    from ..operators.mutations import edit_lines as f
-
-    return _edited(f, V.items(s, d))
-
-
 @query("k09_parent_status", with_views("select document_id, count(*) filter (where needs_review) as n_flagged, case when count(*) filter (where needs_review) > 0 then 'needs_review' else 'ok' end as extraction_status from flagged group by 1", "items", **FLAGGED))
 def parent_status(s, d):
     return C.parent_status(R.validate_line(V.items(s, d)))
@@ -215,20 +195,14 @@ def total_or_taxable(s, d):
     return f(V.items(s, d))
 
 
-@query("j08_band_join", "with n as (select o_orderkey as id, cast(o_totalprice as decimal(14,2)) as t from orders) select a.id as new_id, b.id as old_id from n a join n b on abs(a.t - b.t) < 0.5 and floor(b.t) between floor(a.t) - 1 and floor(a.t) + 1 where a.id % 20 = 0 and b.id % 20 <> 0")
+@query("j08_band_join", "with n as (select o_orderkey as id, cast(o_totalprice as decimal(14,2)) as t from orders) select a.id as new_id, b.id as old_id from n a join n b on abs(a.t - b.t) < 0.5 and floor(b.t) between floor(a.t) - 1 and floor(a.t) + 1 where a.id % 50 = 0")
 def band_join(s, d):
-    docs = V.documents(s, d)
-    return E.band_candidates(docs.where("id % 20 = 0"), docs.where("id % 20 != 0"))
-
-
-@query("j08_band_join_whole", "with n as (select o_orderkey as id, cast(o_totalprice as decimal(14,2)) as t from orders) select a.id as new_id, b.id as old_id from n a join n b on abs(a.t - b.t) < 0.5 and floor(b.t) between floor(a.t) - 1 and floor(a.t) + 1 where a.id % 50 = 0")
-def band_join_whole(s, d):
-    """j08_band_join of the stated query set (id % 50 = 0) against all rows, each document's own included."""
+    """The stated query set (id % 50 = 0) against all rows, each document's own included."""
     docs = V.documents(s, d)
     return E.band_candidates(docs.where("id % 50 = 0"), docs)
 
 
-@query("j09_duplicates", None)
+@query("j09_duplicates", with_views("select id + 1000000000 as new_id, id as duplicate_of from docs where id % 50 = 0", "docs"))
 def duplicates(s, d):
     docs, items = V.documents(s, d), V.items(s, d)
     new = docs.where("id % 50 = 0").select((F.col("id") + 10**9).alias("id"), "document_no", "document_type", "document_date", "grand_total_final")
@@ -250,3 +224,26 @@ def edit_similarity(s, d):
     n = table(s, d, "nation")
     a, b = n.select(F.col("n_name").alias("a"), F.col("n_nationkey").alias("ka"), F.col("n_regionkey").alias("r")), n.select(F.col("n_name").alias("b"), F.col("n_nationkey").alias("kb"), F.col("n_regionkey").alias("r"))
     return a.join(b, "r").where("ka < kb").where(f(F.col("a"), F.col("b")) >= 0.2).select("a", "b", F.levenshtein(F.lower("a"), F.lower("b")).cast("long").alias("distance"))
+
+
+@query("k01_save_documents", with_views("""select id + 1000000000 as id, id % 100 = 0 as is_duplicate, case when id % 100 = 0 then id end as duplicate_of, (select count(*) from items where document_id = d.id) * (case when id % 100 = 0 then 0 else 1 end) as n_lines,
+case when id % 100 <> 0 then vendor_name end as vendor_name from named d where id % 50 = 0""", "docs", "docsv", "vendors", "customers", "items", named="select d.*, case when d.id % 150 = 0 then 'Brand New Traders ' || cast(d.id % 7 as varchar) else v.name end as vendor_name from docsv d left join vendors v on v.id = d.vendor_id"))
+def save_documents(s, d):
+    """K1: copies of every fiftieth document come in; half of them have other numbers and totals and are new, some from new vendors."""
+    from ..operators import mutations as K
+
+    docs = V.documents_with_vendor(s, d).withColumn("file_hash", F.lit(None).cast("string"))
+    vendors = V.vendors(s, d).select("id", "name", F.concat(F.lit("GST"), F.col("id").cast("string")).alias("gstin"))
+    customers = V.customers(s, d).select("id", "name", F.lit(None).cast("string").alias("gstin"))
+    other = F.col("id") % 100 != 0
+    copies = docs.where("id % 50 = 0").join(vendors.select(F.col("id").alias("__v"), F.col("name").alias("__name"), "gstin"), F.col("vendor_id") == F.col("__v"), "left")
+    brand_new = F.col("id") % 150 == 0
+    new = copies.select((F.col("id") + 10**9).alias("id"), F.when(other, F.concat(F.lit("NEW-"), F.col("id").cast("string"))).otherwise(F.col("document_no")).alias("document_no"), "document_type", "document_date", F.when(other, F.col("grand_total_final") + 10**7).otherwise(F.col("grand_total_final")).cast("decimal(14,2)").alias("grand_total_final"), "file_hash",
+        F.when(brand_new, F.concat(F.lit("Brand New Traders "), (F.col("id") % 7).cast("string"))).otherwise(F.col("__name")).alias("vendor_name"), F.when(~brand_new, F.col("gstin")).alias("vendor_gstin"), F.lit(None).cast("string").alias("customer_name"), F.lit(None).cast("string").alias("customer_gstin"))
+    items = V.items(s, d)
+    lines = items.where("document_id % 50 = 0").withColumn("document_id", F.col("document_id") + 10**9)
+    saved = K.save_documents(new, lines, docs, items, vendors, customers)
+    counts = saved["items"].where(F.col("document_id") >= 10**9).groupBy("document_id").agg(F.count("*").alias("n"))
+    heads = saved["documents"].where(F.col("id") >= 10**9).select(F.col("id").alias("__d"), "vendor_id").join(saved["vendors"].select(F.col("id").alias("__v"), "name"), F.col("vendor_id") == F.col("__v"), "left")
+    out = saved["outcome"].join(heads, F.col("id") == F.col("__d"), "left").join(counts, F.col("id") == F.col("document_id"), "left")
+    return out.select("id", "is_duplicate", "duplicate_of", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.col("name").alias("vendor_name"))

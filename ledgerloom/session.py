@@ -23,3 +23,22 @@ def get_session(app: str = "ledgerloom", cpus: int | str = "*", shuffle_partitio
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables in a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df):
+    """A scan's rows over all cores where the source has fewer splits than cores: row-wise work behind it would run on a few of them.
+
+    A source of many splits stays as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import spread, table
 
 TYPES = {"1": "invoice_final", "2": "invoice_proforma", "3": "purchase_order", "4": "quotation", "5": "patient_account_statement"}
 _TYPE_SQL = "case substr(o_orderpriority, 1, 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPES.items()) + " end"
@@ -62,7 +62,7 @@ cast(case when l_partkey % 10 = 0 then rate0 * qty0 + 1 else 0 end as decimal(20
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with holes and faults by fixed rules: rate or gross blank by line number, a wrong final for parts divisible by 10."""
-    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    l, p = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     joined = l.join(p, l.l_partkey == p.p_partkey)
     raw = joined.selectExpr(*_split(_ITEM_COLUMNS.format(string="string")))
     return raw.selectExpr(*_split(_BROKEN))

@@ -14,7 +14,7 @@ def _duck(sf_dir, sql, *tables):
 
 
 def test_unroll_holds_long_texts(spark, sf_dir):
-    got = sorted((r.doc_id, r["count"]) for r in queries()["s28_unroll_whole"](spark, sf_dir).groupBy("doc_id").count().collect())
+    got = sorted((r.doc_id, r["count"]) for r in queries()["s28_unroll"](spark, sf_dir).groupBy("doc_id").count().collect())
     texts = _duck(sf_dir, "select doc_id, coalesce(text, '') from documents", "documents")
     assert got == sorted((d, t.count("\n") + 1) for d, t in texts) and any(len(t) >= 2000 for _, t in texts)
 
@@ -23,10 +23,10 @@ def test_no_query_over_a_subset_of_ids(spark):
     sf_dir = "/root/testdata/sf0.01"
     ids = {d for (d,) in _duck(sf_dir, "select distinct l_orderkey from lineitem join part on l_partkey = p_partkey", "lineitem", "part")}
     assert {r.doc for r in queries()["s31_text_items"](spark, sf_dir).select("doc").distinct().collect()} == ids
-    assert {r.document_id for r in queries()["k09_edit_lines_whole"](spark, sf_dir).select("document_id").distinct().collect()} == ids
-    assert queries()["p14_in_document_whole"](spark, sf_dir).where("document_id > 500").count() > 0
-    assert queries()["a12e_verify_whole"](spark, sf_dir).count() == _duck(sf_dir, "select count(*) from orders", "orders")[0][0]
-    pairs = queries()["j08_band_join_whole"](spark, sf_dir).collect()
+    assert {r.document_id for r in queries()["k09_edit_lines"](spark, sf_dir).select("document_id").distinct().collect()} == ids
+    assert queries()["p14_in_document"](spark, sf_dir).where("document_id > 500").count() > 0
+    assert queries()["a12e_verify"](spark, sf_dir).count() == _duck(sf_dir, "select count(*) from orders", "orders")[0][0]
+    pairs = queries()["j08_band_join"](spark, sf_dir).collect()
     assert {r.new_id for r in pairs} == {r.old_id for r in pairs if r.new_id == r.old_id} == set(range(0, 15000, 50))
 
 
