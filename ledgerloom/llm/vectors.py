@@ -34,30 +34,30 @@ def whole_vectors(vectors: DataFrame, scale: int, dim: int, keep: list[str], col
 
     Rows whose vector is null, of another length than `dim`, or holds null or
     non-finite components are dropped. Components are taken as doubles, which a
-    power of two as scale leaves exact. One whose squared distance would not fit a
+    power of two as scale leaves exact; with dim 0 nothing is kept. One whose squared distance would not fit a
     long is an error (as an overflow is in Spark), never a wrong number.
     """
-    limit = cell_limit(dim)
+    limit, width = cell_limit(dim), max(1, dim)
     schema = T.StructType([*[vectors.schema[k] for k in keep], T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def cut(batch: pa.RecordBatch) -> dict | None:
         lists = batch.column(len(keep))
-        sized = np.array([n == dim for n in lists.value_lengths().to_pylist()], dtype=bool)
-        x = lists.filter(pa.array(sized)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+        sized = np.array([n == dim > 0 for n in lists.value_lengths().to_pylist()], dtype=bool)
+        x = lists.filter(pa.array(sized)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
         finite = np.isfinite(x).all(axis=1)
         x = np.floor(scale * x[finite])
         if x.size and np.abs(x).max() > limit:
             raise ArithmeticError(f"a component is beyond {limit / scale:g}: its squared distances do not fit a long")
         rows = pa.array(np.flatnonzero(sized)[finite])
         flat = pa.array(x.astype(np.int32).ravel())
-        return {**{k: batch.column(i).take(rows) for i, k in enumerate(keep)}, "cells": pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, dim, dtype=np.int32)), flat)}
+        return {**{k: batch.column(i).take(rows) for i, k in enumerate(keep)}, "cells": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat)}
 
     return arrow_map(vectors.select(*keep, column), cut, schema)
 
 
 def matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     """A column of cells as a matrix of 64-bit integers."""
-    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, max(1, dim))
 
 
 def sums(parts: DataFrame, keys: list[str], width: int) -> DataFrame:

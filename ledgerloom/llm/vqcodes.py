@@ -30,8 +30,9 @@ from .common import arrow_map, materialize, rejoin, release
 from .vectors import common_length, matrix, sums, whole_vectors
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Rows that a step compares with a codebook at once; numbers of blocks, coarse to fine; shares by which bounds are lowered.
-STEP, LEVELS, SLACK = 1024, (1, 4), 1e-9
+#: Rows that a step compares with a codebook at once; numbers of blocks, coarse to fine (of 16 components 8 blocks leave 55 % of the
+#: distances, 4 leave 90 %); share by which bounds are lowered.
+STEP, LEVELS, SLACK = 1024, (1, 8), 1e-9
 
 
 class Codebook:
