@@ -97,13 +97,6 @@ def mean_confidence(words: DataFrame) -> DataFrame:
     return pages.groupBy("doc").agg(F.avg("c").alias("confidence"))
 
 
-def anchors(words: DataFrame) -> DataFrame:
-    """The median x of the last, second last and third last number of the rows of a page."""
-    w = W.partitionBy("page", "y").orderBy(F.desc("x"))
-    last = words.where(F.col("text").rlike(r"^[\d,]+(\.\d+)?$")).withColumn("k", F.row_number().over(w)).where("k <= 3")
-    return last.groupBy("page", "k").agg(F.percentile("x", 0.5).alias("x"))
-
-
 def category_sum(rows: DataFrame, category: str, amount: str, only: str | None = None) -> DataFrame:
     """The sum of an amount by category, or of one category (in whatever case); a missing category is its own."""
     rows = rows if only is None else rows.where(F.lower(category) == only.lower())

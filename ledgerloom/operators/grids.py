@@ -277,19 +277,6 @@ def words_in_regions(words: DataFrame, regions: DataFrame) -> DataFrame:
     return w.join(regions, "page").where(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))).drop("cx", "cy", "x0", "y0", "x1", "y1")
 
 
-def column_anchored(words: DataFrame, tolerance: int = 15) -> DataFrame:
-    """Word boxes (page, text, x, y) -> rows by height, amount / rate / qty from the last three numbers, the rest as description."""
-    from .history import cluster_positions
-
-    ys = words.groupBy("page").agg(cluster_positions(F.sort_array(F.collect_list(F.col("y").cast("double"))), tolerance).alias("ys"))
-    w = words.join(ys, "page").withColumn("row", F.array_min(F.transform("ys", lambda c: F.struct(F.abs(c - F.col("y")).alias("d"), c.alias("c"))))["c"])
-    seq = w.groupBy("page", "row").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("ws"))
-    number = lambda t: t.rlike(r"^[\d,]+(\.\d+)?$")
-    nums = F.transform(F.filter("ws", lambda t: number(t["text"])), lambda t: F.regexp_replace(t["text"], ",", "").try_cast("decimal(14,2)"))
-    text = F.array_join(F.transform(F.filter("ws", lambda t: ~number(t["text"])), lambda t: t["text"]), " ")
-    return seq.withColumn("nums", nums).where(F.size("nums") >= 3).select("page", "row", text.alias("description"), F.element_at("nums", -3).alias("qty"), F.element_at("nums", -2).alias("rate"), F.element_at("nums", -1).alias("amount"))
-
-
 def section_items(docs: DataFrame) -> DataFrame:
     """Item lines between a table head and its totals; the section flag is a running maximum over lines."""
     lines = docs.select("doc", F.posexplode(F.split("text", r"\r?\n")).alias("line", "s"))
