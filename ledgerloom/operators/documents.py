@@ -184,9 +184,17 @@ def in_document(items: DataFrame, query: str, columns: list[str]) -> DataFrame:
 
 
 def value_frequencies(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """How often each value occurs, for several fields."""
-    parts = [df.where(F.coalesce(F.col(col), F.lit("")) != "").groupBy(F.col(col).alias("value")).agg(F.count("*").alias("freq")).select(F.lit(field).alias("field"), "value", "freq") for field, (df, col) in sources.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """How often each value occurs, for several fields; blank values do not count.
+
+    Fields of one DataFrame are read in one pass: its rows are stacked to (field,
+    value) and all are counted in one aggregation, which reduces them where they lie.
+    """
+    tables: dict[int, tuple[DataFrame, list]] = {}
+    for field, (df, col) in sources.items():
+        tables.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(field).alias("field"), F.col(col).cast("string").alias("value")))
+    stacked = [df.select(F.inline(F.array(*pairs))) for df, pairs in tables.values()]
+    rows = reduce(lambda a, b: a.unionByName(b), stacked).where(F.coalesce(F.col("value"), F.lit("")) != "")
+    return rows.groupBy("field", "value").agg(F.count("*").alias("freq"))
 
 
 #: Prefixes of a scoped suggestion and the field each one means.
