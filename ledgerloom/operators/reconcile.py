@@ -67,15 +67,6 @@ def fill_missing_totals(docs: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumns({HEADER[t]: F.when(F.col(HEADER[t]) == 0, F.col(f"s_{t}")).otherwise(F.col(HEADER[t])) for t in HEADER})
 
 
-def reconcile_view(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The viewer's test, subtotal and final within 2.0, the discount either in the lines or in the header."""
-    c = F.col
-    df = _joined(docs, items)
-    sub = F.least(F.abs(c("s_taxable") - c("grand_total_taxable")), F.abs(c("s_taxable") - c("total_discount") - c("grand_total_taxable"))) <= 2
-    fin = F.least(F.abs(c("s_final") - c("grand_total_final")), F.abs(c("s_final") - c("total_discount") - c("grand_total_final"))) <= 2
-    return df.withColumns({"subtotal_ok": sub, "final_ok": fin})
-
-
 def reconcile_quotation(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A12b as the quotation page has it (QuotationDetail.jsx:160-215): subtotal_ok, final_ok, net_due, total_discounts.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import views as V
@@ -215,10 +216,17 @@ def normalize_record(s, d):
     return out.select("row", *[F.col("record")[k].alias(k) for k in ("d", "t", "bad")], F.size("warnings").alias("n_warnings"))
 
 
-@query("f44_expand", "select * from (values (1, 0, 'qty', 'qty|quantity'), (1, 1, 'mtrl', 'material|mtrl'), (2, 0, 'solution', 'sol|soln|solution'), (2, 1, 'xyz', 'xyz')) t(q_id, pos, token, alternatives)")
+@query("f44_expand", """with a as (select distinct event_type as alias, 'k' || cast(event_id % 7 as varchar) as canonical from events),
+b as (select alias as k, canonical as alt from a union select canonical, alias from a),
+q as (select conv_id as q_id, turn, string_split(lower(['purchase', 'View', 'k3', 'click', 'xyz'][1 + (conv_id + turn) % 5] || ' ' || string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1]), ' ') as ws from conversations),
+t as (select q_id, turn, unnest(range(0, len(ws))) as pos, unnest(ws) as token from q where len(ws) > 0)
+select q_id, turn, cast(pos as int) as pos, token, string_agg(alt, '|' order by alt) as alternatives from (select distinct t.q_id, t.turn, t.pos, t.token, x.alt from t, lateral (select t.token as alt union select b.alt from b where b.k = t.token) x) where token <> '' group by all""")
 def expand(s, d):
-    q = s.createDataFrame([(1, " Qty  mtrl"), (2, "Solution xyz"), (3, "  ")], "q_id int, q string")
-    return L.expand(q, L.seeds(s)).select("q_id", "pos", "token", F.array_join("alternatives", "|").alias("alternatives"))
+    """the words of a query, of which the first may be an alias, against aliases taken from the events."""
+    known = table(s, d, "events").select(F.col("event_type").alias("alias"), F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")).alias("canonical")).distinct()
+    head = F.element_at(F.array(*[F.lit(x) for x in ("purchase", "View", "k3", "click", "xyz")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    q = table(s, d, "conversations").select(F.struct("conv_id", "turn", F.monotonically_increasing_id().alias("row")).alias("q_id"), F.concat(head, F.lit(" "), F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")[0]).alias("q"))
+    return L.expand(q, known).select(F.col("q_id.conv_id").alias("q_id"), "q_id.turn", "pos", "token", F.array_join("alternatives", "|").alias("alternatives")).distinct()
 
 
 @query("f45_suggest", None)
@@ -229,11 +237,32 @@ def suggest(s, d):
     return L.suggest(q, L.seeds(s), vocabulary(V.items(s, d), "description"))
 
 
+def part_aliases(s, d):
+    """Aliases from the names of parts, in order: the first word for the second, surer for rarer pairs."""
+    n = table(s, d, "part").groupBy("p_name").agg(F.count("*").alias("n"))
+    ordered = n.withColumn("ord", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_name")))
+    return ordered.select("ord", F.split("p_name", " ")[0].alias("alias"), F.split("p_name", " ")[1].alias("canonical"), (1.0 / F.col("n")).alias("confidence"))
+
+
 @query("f42_resolve", None)
 def resolve(s, d):
-    texts = s.createDataFrame([("qty",), ("mtrl",), ("quan",), ("specificaton",), ("zzz",)], "text string")
-    aliases = s.createDataFrame([(k, a, c, 1.0) for k, (a, c) in enumerate(L.SEEDS)], "ord int, alias string, canonical string, confidence double")
-    return L.resolve(texts, aliases)
+    """words of events and parts, whole, cut short and misspelt, against aliases from the parts' names."""
+    words = table(s, d, "events").select(F.col("event_type").alias("w")).unionByName(table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w"))).distinct()
+    texts = words.select(F.explode(F.array("w", F.substring("w", 1, 3), F.regexp_replace("w", "[aeiou]", ""), F.concat(F.substring("w", 1, 2), "w"), F.concat(F.upper("w"), F.lit("s")))).alias("text"))
+    return L.resolve(texts, part_aliases(s, d))
+
+
+def phrase_aliases(s, d):
+    """Aliases of one to three words: how first turns begin."""
+    first = table(s, d, "conversations").where("turn = 0").select("conv_id", F.regexp_extract_all(F.lower("text"), F.lit(L.WORD), 0).alias("ws"))
+    return first.select(F.array_join(F.slice("ws", 1, (F.col("conv_id") % 3 + 1).cast("int")), " ").alias("alias"), F.concat(F.lit("p"), (F.col("conv_id") % 40).cast("string")).alias("canonical"), (0.5 + (F.col("conv_id") % 5) / 8).alias("confidence")).where("alias != ''")
+
+
+@query("f43_spans", None)
+def spans(s, d):
+    """Phrases in all turns, the best ones that do not overlap."""
+    turns = table(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn", F.xxhash64("role", "text")).alias("doc"), "text").distinct()
+    return L.choose_spans(L.span_matches(turns, phrase_aliases(s, d)))
 
 
 @query("f25_highlight", "select n_nationkey, regexp_replace(n_name, '(?i)(an|in)', '<mark>\\1</mark>', 'g') as shown from nation")

@@ -127,11 +127,6 @@ def reconcile(s, d):
     return out.select("id", F.col("grand_total_final").cast("decimal(20,4)").alias("grand_total_final"), F.col("grand_total_taxable").cast("decimal(20,4)").alias("grand_total_taxable"), "extraction_status", "review_reason")
 
 
-@query("a12b_view_check", with_views("select id, abs(st - 0) <= 2 as subtotal_ok, abs(sf - gf) <= 2 as final_ok from j", "docs", "items", **SUMS))
-def view_check(s, d):
-    return C.reconcile_view(V.documents(s, d), R.validate_line(V.items(s, d))).select("id", "subtotal_ok", "final_ok")
-
-
 QUOTATION = FLAGGED | {
     "real": r"""select * from flagged where not (regexp_matches(trim(coalesce(description, '')), '(?i)^(grand\s*total|sub[\s-]?total|total\s*amount|net\s*total|net\s*amount|balance\s*due|amount\s*due|total\s*due|invoice\s*total)') and (trim(coalesce(item_code, '')) = '' or regexp_matches(trim(item_code), '(?i)^item-?\d+$')))""",
     "page": """select d.id, cast(case when d.id % 3 = 0 then d.grand_total_final else 0 end as decimal(28,8)) as expected_taxable, cast(coalesce(d.grand_total_final, 0) as decimal(28,8)) as expected_final,

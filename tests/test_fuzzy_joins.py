@@ -72,17 +72,24 @@ def test_suggestions_and_aliases(spark, sf_dir):
         it = iter(long)
         return len(short) < len(long) and all(c in it for c in short)
 
-    for text, (canonical, kind) in got.items():
-        exact = next((c for a, c in L.SEEDS if a == text), None)
+    from ledgerloom.plans.text_plans import part_aliases
+
+    known = [(r.alias, r.canonical) for r in part_aliases(spark, sf_dir).orderBy("ord").collect()]
+    kinds = set()
+    for said, (canonical, kind) in got.items():
+        kinds.add(kind)
+        text = said.lower()
+        exact = next(((c, "exact" if text == c else "alias") for a, c in known if a == text), None)
         best = None
-        for a, c in L.SEEDS:
-            if (c.startswith(text) or subsequence(text, c) or subsequence(text, a)) and len(text) < max(len(c), len(a)):
+        for a, c in known:
+            if subsequence(text, c) or subsequence(text, a):
                 r = len(text) / len(c)
                 if best is None or r > best[1]:
                     best = c, max(0.8, r)
-        close = max(((max(SequenceMatcher(None, text, a).ratio(), SequenceMatcher(None, text, c).ratio()), -k, c) for k, (a, c) in enumerate(L.SEEDS)), default=None)
-        want = (exact, "alias") if exact else (best[0], "abbreviation") if best else (close[2], "fuzzy") if close[0] >= 0.75 else (None, None)
-        assert (canonical, kind) == want
+        close = max(((max(SequenceMatcher(None, text, a).ratio(), SequenceMatcher(None, text, c).ratio()), -k, c) for k, (a, c) in enumerate(known)), default=None)
+        want = exact if exact else (best[0], "abbreviation") if best else (close[2], "fuzzy") if close[0] >= 0.75 else (None, None)
+        assert (canonical, kind) == want, said
+    assert kinds == {"alias", "abbreviation", "fuzzy", None}
 
 
 def test_item_lines(spark, sf_dir):
