@@ -77,12 +77,19 @@ def exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """`docs` without its dropped rows, all columns as they were; of fully repeated rows one stays."""
+    """`docs` without its dropped rows, all columns as they were; a null text counts as empty.
+
+    Of several rows with the doc_id that stays and an equal text one is kept, that
+    whose columns come first as JSON text, so reruns agree; fully repeated rows thus
+    become one. An empty table stays empty.
+    """
     marks = materialize(exact_duplicates(docs, keep), "kept").where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     out = docs.withColumn("__sha", sha).join(marks.withColumnRenamed("__sha", "__sha2"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha2")), "left_semi")
-    repeated = has_repeated_ids(docs)
-    return (out.dropDuplicates(["doc_id", "__sha"]) if repeated else out).drop("__sha")
+    if not has_repeated_ids(docs):
+        return out.drop("__sha")
+    row = F.struct(*docs.columns)
+    return out.groupBy("doc_id", "__sha").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
 
 
 def has_repeated_ids(docs: DataFrame) -> bool:

@@ -135,8 +135,10 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = end.end() if end and not m[3].endswith("/") else (at if m[3].endswith("/") else n)
+            # Its end tag is the first by name, up to the next >; both are looked for once.
+            if not m[3].endswith("/"):
+                end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+                at = (page.find(">", end.end()) + 1 if end else 0) or n
             continue
         if tag not in INLINE:
             flush()

@@ -10,13 +10,16 @@ lift, and no smaller combination already kept among their subsets, become
 rules. They are matched by an inverted index: url tokens join rule tokens, and
 a rule fits when as many tokens met as it has. The labels are those that the
 given rules put on the urls they fit (`rule_labels`), or any table of labelled
-urls; a part of them is held out to measure what the mined rules are worth.
+urls. Urls without a label count as not blocked: they are most of what a
+combination is tried on, and one that only the labelled urls have in common
+with many others (`h:com`, where the given rules speak of a few hosts) must not
+become a rule. A part is held out to measure what the mined rules are worth.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, rejoin
@@ -24,15 +27,11 @@ from .common import ascii_lower, materialize, rejoin
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Share of labelled urls that hold a combination, confidence and lift it must reach.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.9, 1.2
-#: Different labelled urls used for mining at most (a hash of the url decides), and one in HELD_OUT of all that is kept from mining.
+#: Different urls used for mining at most (a hash of the url decides), and one in HELD_OUT of all that is kept from mining.
 MAX_LABELLED, HELD_OUT = 200_000, 5
 #: Rows of rules up to which they are broadcast.
 BROADCAST_ROWS = 50_000
 
-# Words of hosts that the example urls block or allow.
-BLOCK_WORDS = [("casino", "win"), ("free", "bets"), ("adult", "x"), ("cheap", "pills"), ("ads", "track"), ("spam", "farm")]
-ALLOW_WORDS = [("city", "library"), ("free", "encyclopedia"), ("open", "courses"), ("daily", "news"), ("garden", "track"), ("family", "farm"), ("cheap", "flights"), ("chess", "win")]
-
 
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty if null or without ://."""
@@ -51,12 +50,6 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(h, p), lambda x: ~x.rlike(r"^.:\d*$")))
 
 
-def seed_labels(spark: SparkSession) -> DataFrame:
-    """Labelled example urls (url, label) for want of better ones: the word pairs above over usual domains and languages."""
-    rows = [(f"https://{sub}{a}-{b}.example.{tld}/{lang}/", label) for words, label in ((BLOCK_WORDS, "block"), (ALLOW_WORDS, "allow")) for a, b in words for sub in ("", "www.", "m.", "blog.") for tld in ("com", "net", "org") for lang in ("en", "de", "fr", "es")]
-    return spark.createDataFrame(rows, "url string, label string")
-
-
 def _few(rows: DataFrame, n: int) -> DataFrame:
     """`rows` to be broadcast if they are few enough, else left to the planner."""
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
@@ -77,21 +70,23 @@ def _given(parsed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def rule_labels(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Different urls of `pages` that a given rule fits, labelled with its verdict: (url, label, held_out).
+    """Different urls of `pages`, labelled with the verdict of the given rule that fits, null where none does: (url, label, held_out).
 
-    A hash of the url holds out one in HELD_OUT; null urls have no label.
+    A hash of the url holds out one in HELD_OUT; null urls are left out.
     """
-    found = _given(_parsed(pages.where("url is not null")), rules)
+    parsed = _parsed(pages.where("url is not null"))
+    found = parsed.select("url").join(_given(parsed, rules), "url", "left")
     return found.select("url", F.col("best.verdict").alias("label"), (F.pmod(F.xxhash64(F.lit(60), "url"), F.lit(HELD_OUT)) == 0).alias("held_out"))
 
 
 def mine(labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Labelled urls (url, label) -> rules (rule_id, token, size, confidence, support): one row per rule and token.
+    """Urls (url, label) -> rules (rule_id, token, size, confidence, support): one row per rule and token.
 
-    Rows with a null url or label are ignored; repeated rows count once. Where
-    all labels are alike, or there are none, there are no rules.
+    A null label counts as not blocked; rows with a null url are ignored,
+    repeated rows count once. Where all labels are alike, or there are none,
+    there are no rules; of equally confident rules all stay.
     """
-    rows = labels.where("url is not null and label is not null").select("url", "label").distinct()
+    rows = labels.where("url is not null").select("url", F.coalesce("label", F.lit("open")).alias("label")).distinct()
     n = rows.count()
     if n > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(6), "url"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
@@ -113,8 +108,11 @@ def _mined(parsed: DataFrame, mined: DataFrame) -> DataFrame:
 
 
 def worth(labels: DataFrame, mined: DataFrame) -> DataFrame:
-    """Held-out labelled urls (url, label) and mined rules -> per rule its support and confidence there: rule_id, support, confidence, n_urls."""
-    held = materialize(labels.where("url is not null and label is not null").select("url", "label").distinct(), "held-out")
+    """Held-out urls (url, label; null is not blocked) and mined rules -> per rule its support and confidence there: rule_id, support, confidence, n_urls.
+
+    Repeated rows count once; rules that fit no url are left out, an empty table gives no rows.
+    """
+    held = materialize(labels.where("url is not null").select("url", F.coalesce("label", F.lit("open")).alias("label")).distinct(), "held-out")
     n = max(1, held.count())
     fits = _mined(_parsed(held), materialize(mined, "rules")).withColumnRenamed("url", "__url").join(held, F.col("__url") == F.col("url"))
     right = F.sum((F.col("label") == "block").cast("long"))
@@ -124,12 +122,12 @@ def worth(labels: DataFrame, mined: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mined: DataFrame | None = None) -> DataFrame:
     """One row per row of `pages`: page_id, host, path, rule, verdict, mined_rule, confidence.
 
-    rule is the given rule as host + path, null where none fits; then the
+    mined: rules of `mine`, none if not given. rule is the given rule as host + path, null where none fits; then the
     verdict is `block` if a mined rule fits (the most confident, ties by name)
     and `allow` otherwise. A null url has an empty host and path. Repeated rows
     are judged each; extra columns are ignored.
     """
-    mined = materialize(mine(seed_labels(pages.sparkSession)) if mined is None else mined, "rules")
+    mined = pages.sparkSession.createDataFrame([], "rule_id string, token string, size int, confidence double, support double") if mined is None else materialize(mined, "rules")
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"))
     parsed = materialize(_parsed(rows), "urls")
     best = _given(parsed, rules)

@@ -37,6 +37,21 @@ def test_exact(docs, none):
     assert {r.doc_id: r.keep_id for r in exact.exact_duplicates(docs, "min").where("doc_id < 3").collect()} == {1: 1, 2: 1}
 
 
+def test_exact_keeps_the_same_of_rows_with_one_id(spark):
+    rows = [(7, "Text", "b"), (7, "text", "a"), (7, "other", "c"), (3, "TEXT", "z"), (None, "only", "n"), (None, "only", "m")]
+    kept = lambda part: sorted(map(tuple, exact.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(part)).collect()), key=str)
+    assert kept(1) == kept(5) == sorted([(7, "Text", "b"), (7, "other", "c"), (None, "only", "m")], key=str)
+
+
+def test_unclosed_raw_elements_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<p>x</p><textarea>" + "</textarea" * 200_000, "<p>x</p>" + "<title>a</title" * 100_000, "<p>x</p>" + "<script>a</SCRIPT >" * 50_000 + "<p>y</p>"):
+        assert html_crf.blocks(page)
+    assert time.process_time() - began < 20
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (1, 2, 7)} == {1}
@@ -211,7 +226,11 @@ def test_paragraph_links_equal_brute_force(spark):
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://NET/x", "https://a.example.NET/en/1?q#f", "http://example.com/de/", "http://notexample.com/de/", "https://x.org/fr/a", "http://x.org", "http://best-casino.example.com/en/", "http://net", "ftp://u.net?x://y/z", "http://free-bets.example.org/fr/2"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(0, None, "h")], "page_id long, url string, host string")
-    rows = {r.page_id: r for r in urlrules.judge(pages).collect()}
+    mined = spark.createDataFrame([("h:best+h:casino", t, 2, c, 0.1) for t in ("h:best", "h:casino") for c in (0.95,)] + [(name, "h:casino", 1, 0.9, 0.2) for name in ("b", "a")], "rule_id string, token string, size int, confidence double, support double")
+    rows = {r.page_id: r for r in urlrules.judge(pages, mined=mined).collect()}
+    assert rows[9].mined_rule == "h:best+h:casino" and {r.verdict for r in urlrules.judge(pages).where("rule is null").collect()} == {"allow"}
+    ties = urlrules.judge(pages, mined=mined.where("confidence = 0.9")).where("page_id = 9").first()
+    assert ties.mined_rule == "a"
     assert urlrules.judge(pages).count() == 14 and urlrules.judge(pages.limit(0)).count() == 0
     assert (rows[0].host, rows[0].path, rows[0].rule) == ("", "", None) and rows[2].host == ""
     assert [rows[k].rule for k in range(3, 13)] == ["net/", "example.net/en/", "example.com/de/", None, "org/fr/", None, None, None, None, "org/fr/"]
