@@ -80,13 +80,20 @@ def records(grid: DataFrame) -> DataFrame:
 
 
 def fill_merged(grid: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cells of a merged range (doc, sheet, top, left, bottom, right) take the top-left value."""
-    cells = grid.select(*SHEET, "row_idx", F.posexplode("cells").alias("col", "v"))
-    r = ranges.select(*SHEET, "top", "left", "bottom", "right")
-    corner = r.join(cells.withColumnRenamed("v", "value"), SHEET).where("row_idx = top and col = left").select(*SHEET, "top", "left", "bottom", "right", "value")
-    met = cells.join(corner, SHEET, "left").withColumn("inside", F.col("row_idx").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right")))
-    one = met.groupBy(*SHEET, "row_idx", "col").agg(F.first("v").alias("v"), F.bool_or(F.coalesce("inside", F.lit(False))).alias("in"), F.max(F.when(F.col("inside"), F.col("value"))).alias("filled"))
-    return one.groupBy(*SHEET, "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", F.when(F.col("in"), F.col("filled")).otherwise(F.col("v")).alias("v")))), lambda x: x["v"]).alias("cells"))
+    """Cells of a merged range (doc, sheet, top, left, bottom, right) take the top-left value; of ranges that overlap the greatest value counts.
+
+    A range is spread to its cells, so cells and ranges meet by place and a sheet
+    with many of both costs their sizes, not their product. A row stays in one
+    piece: it looks its filled columns up in one map.
+    """
+    rows = grid.select(*SHEET, "row_idx", "cells")
+    tops = ranges.select(*SHEET, F.col("top").alias("row_idx"), "left", "right", "bottom")
+    corner = tops.join(rows, [*SHEET, "row_idx"]).select(*SHEET, "left", "right", F.explode(F.sequence("row_idx", "bottom")).alias("row_idx"), F.get("cells", F.col("left")).alias("value"))
+    spots = corner.select(*SHEET, "row_idx", F.explode(F.sequence("left", "right")).alias("col"), "value").groupBy(*SHEET, "row_idx", "col").agg(F.max("value").alias("value"))
+    filled = spots.groupBy(*SHEET, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("__filled"))
+    met = rows.join(filled, [*SHEET, "row_idx"], "left")
+    cells = F.transform("cells", lambda c, k: F.when(F.coalesce(F.map_contains_key("__filled", k), F.lit(False)), F.try_element_at("__filled", k)).otherwise(c))
+    return met.select(*SHEET, "row_idx", cells.alias("cells"))
 
 
 def column_types(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -139,9 +139,9 @@ def chunks(s, d):
     return S.chunk_text(t, 5).select("doc", F.col("chunk").cast("long").alias("chunk"), F.sha2("body", 256).alias("body_sha"))
 
 
-@query("s12_join_pages", "select conv_id as doc, sha256(string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) order by turn)) as sha from (select conv_id, turn, min(text) as text from conversations group by 1, 2) group by 1")
+@query("s12_join_pages", "select conv_id as doc, sha256(string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) order by turn, text)) as sha from (select conv_id, turn, coalesce(text, '') as text from conversations) group by 1")
 def join_pages(s, d):
-    pages = table(s, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text", F.lit(1.0).alias("confidence"))
+    pages = table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.lit(1.0).alias("confidence"))
     return S.join_pages(pages).select("doc", F.sha2("text", 256).alias("sha"))
 
 

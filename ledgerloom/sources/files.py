@@ -163,8 +163,15 @@ def merge_chunks(parts: DataFrame) -> DataFrame:
     return items.join(heads, "doc", "left")
 
 
-def read_memory(spark: SparkSession, path: str) -> DataFrame:
-    """The learned memory (one JSON object): known items as (vendor, item)."""
+def read_memory(spark: SparkSession, path: str, counted: bool = False) -> DataFrame:
+    """The learned memory, a JSON object a line and vendor: known items as (vendor, item), with how often each was seen if `counted`."""
+    raw = spark.read.schema(f"vendor string, known_items array<{'struct<item:string,n:bigint>' if counted else 'string'}>").json(path)
+    rows = raw.select("vendor", F.explode("known_items").alias("item"))
+    return rows.select("vendor", "item.*") if counted else rows
+
+
+def read_memory_file(spark: SparkSession, path: str) -> DataFrame:
+    """A memory kept as one JSON object over all vendors, as (vendor, item); such a file is read by one task."""
     raw = spark.read.schema("vendors map<string, struct<known_items: array<string>>>").json(path, multiLine=True)
     return raw.select(F.explode("vendors").alias("vendor", "v")).select("vendor", F.explode("v.known_items").alias("item"))
 
