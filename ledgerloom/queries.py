@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import changing, indexed, intake, lookups, relational, rules, scanned, text_plans, totals  # noqa: F401  they register on import
+from .plans import changing, indexed, intake, invoices, lookups, relational, rules, scanned, text_plans, totals  # noqa: F401  they register on import
 from .plans.registry import PLANS, Plan
 
 
