@@ -46,6 +46,19 @@ def field_map(spark: SparkSession, extra: list[tuple[str, str, str]] = ()) -> Da
     return df.groupBy("document_type", "source_field").agg(F.max_by("target", "ord").alias("target"))
 
 
+RULES = "document_type string, source_field string, target string, ord long"
+
+
+def add_mapping_rule(spark: SparkSession, path: str, rules: DataFrame) -> None:
+    """Rules (document_type, source_field, target, ord) appended to a folder of JSON lines; a reader sees them from its next read on."""
+    rules.select("document_type", "source_field", "target", F.col("ord").cast("long").alias("ord")).write.mode("append").json(path)
+
+
+def read_mapping_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a folder, by type and source field that of the highest ord; nothing is cached between reads."""
+    return spark.read.schema(RULES).json(path).groupBy("document_type", "source_field").agg(F.max_by("target", F.struct("ord", "target")).alias("target"))
+
+
 def _side_map(rows: DataFrame, key: Column, value: Column) -> Column:
     """A side table of rules as one map, a scalar subquery: rows look it up where they are, without a join on a handful of keys.
 

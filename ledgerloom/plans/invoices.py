@@ -89,3 +89,41 @@ def table_header(s, d):
     tables = docs.select(F.col("id").alias("doc"), F.inline(rows))
     found = I.table_header(docs.select(F.col("id").alias("doc"), F.lit("scan").alias("text")), tables, {"HOUSE": "House Name Pvt Ltd"})
     return found.select("doc", "document_no", "document_date", "vendor_name", F.regexp_replace("vendor_address", "^Acme Traders LTD, ", "").alias("vendor_address"), "gstin", "customer_name", "customer_gstin", "enquiry_ref", "currency", "payment_terms")
+
+
+@query("s13_image_items", f"""with {_LINES}, x as (select page as doc, rank, k, q, r, name || ' x' || {_LETTERS.format('k')} as d, cast(q * r as decimal(18,2)) as m from v),
+o as (select o_orderkey as doc, o_orderkey % 4 as f from orders)
+select doc, 'catalog' as method, u as line_no, ['rubber hose', 'steel pump'][u] as description, cast([1, 4][u] as decimal(18,2)) as qty, cast([2, 10][u] as decimal(18,2)) as rate, cast([2, 40][u] as decimal(18,2)) as gross_amount from o, unnest([1, 2]) t(u) where f = 0
+union all select doc, case f when 1 then 'sections' when 2 then 'columns' else 'lines' end, cast(row_number() over (partition by doc order by rank) as int), case when f = 2 and length(split_part(d, ' ', 1)) in (4, 5, 6, 8) then substr(d, length(split_part(d, ' ', 1)) + 2) else d end, q, r, m from (select x.*, f from x join o using (doc) where f > 0 qualify f = 1 or row_number() over (partition by doc, d, m order by rank) = 1)""")
+def image_items(s, d):
+    """A quarter of the pages each (a first word in word boxes may be read as a code) for the learned catalog, the sections of a tax invoice, word boxes, and plain lines."""
+    from ..operators import cascade
+
+    l = _lines(s, d).withColumn("d", F.concat("name", F.lit(" x"), _letters(F.col("k")))).withColumn("m", (F.col("q") * F.col("r")).cast("decimal(18,2)"))
+    q, r, m = F.col("q").cast("string"), F.col("r").cast("decimal(12,2)").cast("string"), F.format_number("m", 2)
+    tax = F.concat(F.col("rank").cast("string"), F.lit(" "), "d", F.lit(" 8421 "), q, F.lit(" Kg "), r, F.lit(" "), m)
+    plain = F.concat("d", F.lit(" "), q, F.lit(" Nos "), r, F.lit(" "), m)
+    k = F.col("id") % 4
+    texts = l.groupBy("page").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", x.alias("s")))), lambda y: y["s"]), "\n").alias(n) for n, x in (("tax", tax), ("plain", plain))])
+    docs = V.documents(s, d).select("id").join(texts, F.col("id") == F.col("page"), "left")
+    text = F.when(k == 0, "Pump of steel 4 Nos\nhose as usual 1.00 2.00").when(k == 1, F.concat(F.lit("GSTIN 29ABC\nDescription of Goods\n"), F.coalesce("tax", F.lit("")), F.lit("\nTotal"))).when(k == 3, F.coalesce("plain", F.lit(""))).otherwise("")
+    scans = docs.select(F.col("id").alias("doc"), F.when(k == 0, "Acme Traders & Co").otherwise("Nobody").alias("vendor_name"), text.alias("text"))
+    known = s.createDataFrame([(1, "Acme Traders", "steel pump", "10.00"), (2, "Acme Traders", "rubber hose", "2.00"), (3, "Zenith", "glass flask", "3.00")], "ord int, vendor string, description string, rate string").withColumn("rate", F.col("rate").cast("decimal(18,2)"))
+    at = [(F.col("d"), 150, 60), (q, 400, 20), (F.format_number("r", 2), 600, 60), (m, 800, 80)]
+    boxes = F.array(*[F.struct(F.lit(n).alias("n"), t.alias("text"), F.lit(float(c - w / 2)).alias("x"), F.lit(float(w)).alias("width")) for n, (t, c, w) in enumerate(at)])
+    words = l.where("page % 4 = 2").select("page", "rank", F.inline(boxes)).select("page", (F.col("rank") * 10 + F.col("n")).cast("int").alias("word"), "text", "x", (F.col("rank") * 40.0).alias("y"), "width", F.lit(12.0).alias("height"))
+    return cascade.image_items(scans, words, docs.select(F.col("id").alias("page"), F.lit(1000).alias("width")), known)
+
+
+@query("k14_mapping_rules", with_views("select id as key, document_no as invoice_number, case when id % 2 = 0 then cast(grand_total_final as varchar) end as total_amount, case when id % 2 = 1 then cast(grand_total_final as varchar) end as extra from docs", "docs"))
+def mapping_rules(s, d):
+    """Rules in a folder, a later one appended over an earlier; what no rule names goes to extras."""
+    from ..operators import mapping as M
+    from ..session import shared_folder
+
+    folder = shared_folder(s, "rules")
+    M.add_mapping_rule(s, folder, M.field_map(s).withColumn("ord", F.lit(0)))
+    M.add_mapping_rule(s, folder, s.createDataFrame([("invoice", "bill total", "subtotal", 1), ("invoice", "bill total", "total_amount", 2), ("invoice", "doc ref", "invoice_number", 3)], "document_type string, source_field string, target string, ord int"))
+    rows = V.documents(s, d).select(F.col("id").alias("key"), F.lit("invoice").alias("document_type"), F.create_map(F.lit("Doc_Ref"), F.col("document_no"), F.when(F.col("id") % 2 == 0, "Bill Total").otherwise("Bill Sum"), F.col("grand_total_final").cast("string")).alias("record"))
+    out = M.map_fields(rows, M.read_mapping_rules(s, folder))
+    return out.select("key", F.col("mapped")["invoice_number"].alias("invoice_number"), F.col("mapped")["total_amount"].alias("total_amount"), F.col("extras")["Bill Sum"].alias("extra"))
