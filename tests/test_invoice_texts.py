@@ -45,7 +45,7 @@ def _items(spark, text):
 def test_sections(spark):
     assert _items(spark, "Wound filter 8421 5 Nos 10.00 50.00\nTotal 50.00\nBolt 10.00 20.00") == [("Wound filter", 5, "Nos", 10, 50)]
     assert _items(spark, "Particulars\nAcid one\n20 litres can\n5 litres jar\nAmount\nNut 2 Kg 3.00") == [("Acid one 20 litres can", 1, "Nos", 0, 0), ("litres jar", 1, "Nos", 0, 0), ("Nut", 2, "Kg", 3, 6)]
-    assert _items(spark, "Particulars\nPump 3 Nos 65000\nHose 2 Nos 1200\nValve T0 Nos 700\nCap 1,500.00") == [("Pump", 3, "Nos", 650, 1950), ("Hose", 2, "Nos", 0, 1200), ("Valve T0 Nos", 10, "Nos", 700, 7000), ("Cap", 1, "Nos", 1500, 1500)]
+    assert _items(spark, "Particulars\nPump 8421 3 Nos 65000\nHose 8421 2 Nos 1200\nValve 8421 T0 Nos 700\nCap 1,500.00") == [("Pump", 3, "Nos", 650, 1950), ("Hose", 2, "Nos", 0, 1200), ("Valve T0 Nos", 10, "Nos", 700, 7000), ("Cap", 1, "Nos", 1500, 1500)]
     assert _items(spark, "no head\n1 Bolt 10.00 20.00") == [] and _items(spark, None) == []
 
 
