@@ -89,7 +89,8 @@ def gst_items(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("rate", rate.cast(kind))
     amount = F.when((n >= 2) | ((n == 1) & (one >= 1000)), one).when(n == 1, cents(F.col("rate") * F.col("qty"))).otherwise(F.when((size == 0) & (F.col("rate") > 0), cents(F.col("rate") * F.col("qty"))).otherwise(size))
     name = F.col("full")
-    for pattern in (r"^\W*\d+\W*", r"\b\d{4,8}\b", r"\b\d+\s*%", rf"(?i)\b\d+\s*(?:{UNITS})\b", r"[\d,]+\.\d{2}", r"\b\d{3,}\b"):
+    # The whole part of an amount without commas is no code: it goes with its amount.
+    for pattern in (r"^\W*\d+\W*", r"\b\d{4,8}\b(?!\.\d{2})", r"\b\d+\s*%", rf"(?i)\b\d+\s*(?:{UNITS})\b", r"[\d,]+\.\d{2}", r"\b\d{3,}\b"):
         name = F.regexp_replace(name, pattern, "")
     name = F.trim(F.regexp_replace(F.regexp_replace(name, r"[_|()\[\]{}\\/—«‘']+", " "), r"\s+", " "))
     rows = rows.withColumns({"gross_amount": amount.cast(kind), "description": name})
