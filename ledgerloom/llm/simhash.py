@@ -131,15 +131,15 @@ def link_components(nodes: DataFrame, bits: int = BITS, together: int | None = N
     parts = max(nodes.sparkSession.sparkContext.defaultParallelism, n // NODES_PER_TASK + 1)
     index = variants(nodes.select("fp").repartition(parts, "fp"), bits, together)
     leaders = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp")).alias("lead"), *_spread()).where("n > 1").where(_hopeful(bits))
-    star = rejoin(index, leaders, ["key"], "inner").where(F.expr("fp != lead.fp")).where(_near("fp", "lead.fp", bits))
+    star = rejoin(index, leaders, ["key"], "inner", merge=True).where(F.expr("fp != lead.fp")).where(_near("fp", "lead.fp", bits))
     first = components(star.select(F.col("fp").alias("a"), F.col("lead.fp").alias("b")))
     placed = nodes.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
     rows = materialize(variants(placed.repartition(parts, "fp"), bits, together), "variants")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *_spread()).where("lo != hi").where(_hopeful(bits)).select("key")
-    rest = materialize(rejoin(rows, mixed, ["key"], "inner"), "mixed")
+    rest = materialize(rejoin(rows, mixed, ["key"], "inner", merge=True), "mixed")
     x = rest.select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("a"))
     y = rest.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("comp").alias("b"))
-    cross = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _near("fp_a", "fp_b", bits)).select("a", "b").distinct()
+    cross = x.hint("merge").join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _near("fp_a", "fp_b", bits)).select("a", "b").distinct()
     second = components(cross)
     release(rows, rest)
     joined = placed.join(second, F.col("comp") == F.col("node"), "left")
