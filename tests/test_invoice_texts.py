@@ -58,3 +58,10 @@ def test_first_tables(spark):
     assert (a.vendor_name, a.vendor_address, a.customer_name, a.customer_gstin, a.customer_address) == ("Text Ltd", "Lane 2", "Buyer Co", "G1", "Buyer Co, Road 1")
     assert (a.document_no, a.validity_date, a.document_date, a.currency) == ("Q-9", "2024-03-01", "2024-01-05", "EUR")
     assert got[2].vendor_name is None and got[2].currency == "INR" and got[3].customer_name is None
+
+
+def test_texts_without_json_are_set_apart_once(spark):
+    texts = spark.createDataFrame([(1, f"invoice_1 {PLAIN}"), (2, "Quotation No: Q-77\nBolt 2 Nos 10.00 20.00")], "doc int, text string")
+    for df in J.ingest_texts(texts):
+        assert df._jdf.queryExecution().analyzed().toString().count("from_json") <= 1
+        assert {r.doc for r in df.collect()} == {1, 2}
